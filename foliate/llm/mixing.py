@@ -288,7 +288,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(totals["n"]), int(totals["v"])
     model = fit(words)
-    head = words.orderBy(F.desc("n"), "word").limit(head_words).toArrow()
+    head = words.orderBy(F.col("word") != END, F.desc("n"), "word").limit(head_words).toArrow()  # END is always one
     known = head.column("word").to_pylist()
     model_logs = model.log10(known)
     end_log = float(model.log10([END])[0])

@@ -139,6 +139,7 @@ def _compare(threshold: int):
         held = None
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[2] = cols[2].view(np.uint64)  # a signed number's bits are counted without its sign
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             if not len(cols[0]):
@@ -148,10 +149,10 @@ def _compare(threshold: int):
             held = [c[cut:] for c in cols]
             if cut:
                 a, b = links(*(c[:cut] for c in cols))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
         if held is not None and len(held[0]):
             a, b = links(*held)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
     return run
 
