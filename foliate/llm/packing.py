@@ -121,16 +121,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
         for batch in batches:
             ids_type = batch.schema.field(0).type
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 200):
-                rows = []
-                for doc, coded in zip(ids[lo : lo + 200], encoder(path).encode([t or "" for t in texts[lo : lo + 200]])):
-                    rows += packer.add(doc, coded + END)
-                yield out(rows)
+            rows = []
+            for doc, coded in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1))):
+                rows += packer.add(doc, coded + END)
+            yield out(rows)
         if packer.open:
             yield out(packer.finish())
 
-    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, {SCHEMA}")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, {SCHEMA}", rows=8000)
 
 
 def packing_query(docs: DataFrame) -> DataFrame:

@@ -96,19 +96,18 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         store, base = _store(path)
         shard, at, ordinal, sink, temp = TaskContext.get().partitionId(), 0, 0, None, ""
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 200):
-                index = []
-                for doc, coded in zip(ids[lo : lo + 200], encoder(vocab).encode(texts[lo : lo + 200])):
-                    if sink is None:
-                        store.create_dir(base, recursive=True)
-                        temp = f"{base}/_attempt-{shard}-{uuid.uuid4().hex}"
-                        sink = store.open_output_stream(temp)
-                    data = frame(doc, coded + b"\0\0\0\0")
-                    sink.write(data)
-                    index.append((shard, ordinal, doc, at, len(data), len(coded) // 4 + 1))
-                    ordinal += 1
-                    at += len(data)
+            index = []
+            for doc, coded in zip(batch.column(0).to_pylist(), encoder(vocab).encode(batch.column(1))):
+                if sink is None:
+                    store.create_dir(base, recursive=True)
+                    temp = f"{base}/_attempt-{shard}-{uuid.uuid4().hex}"
+                    sink = store.open_output_stream(temp)
+                data = frame(doc, coded + b"\0\0\0\0")
+                sink.write(data)
+                index.append((shard, ordinal, doc, at, len(data), len(coded) // 4 + 1))
+                ordinal += 1
+                at += len(data)
+            if index:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*index)], names)
         if sink is not None:
             sink.close()
@@ -116,7 +115,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     names = ["shard", "ordinal", "doc_id", "byte_offset", "byte_length", "n_tokens"]
     schema = ", ".join(f"{n} long" for n in names)
-    mapped(rows, run, schema).write.parquet(f"{path}/index")
+    mapped(rows, run, schema, rows=8000).write.parquet(f"{path}/index")
     return spark.read.schema(schema).parquet(f"{path}/index")
 
 

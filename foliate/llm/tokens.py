@@ -1,19 +1,43 @@
-"""Token ids of whole texts, with a bounded cache of the pieces between spaces.
+"""Token ids of whole texts, each distinct word encoded once.
 
 Byte-level BPE of this family splits a text by a pattern before merging. A token never reaches over a space that
 is followed by no white space, so the pieces before such spaces can be encoded apart and joined: the ids are those
-of the whole text. A text with any other space is encoded whole.
+of the whole text. A text with any other space is encoded whole. The same holds for a line feed between two characters
+that are no white space. A run of letters, behind a space or not, is one of the pattern's parts, and so is a run
+of punctuation behind it: there the merges are all that is left to do.
+
+Pieces of a batch are told apart by Arrow's dictionary encoding; what their words encode to is kept in a bounded cache.
 """
 
 from __future__ import annotations
 
 import os
+import struct
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_PIECES = 300_000
+_WORDS = 600_000
+#: Bytes of text that are encoded at once.
+_BYTES = 32 << 20
+_MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
+#: Byte-level alphabets show printable bytes as themselves and all others as the characters from 256 on, in order.
+_PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+def _shown(text: str) -> str:
+    if text.isascii():
+        return text.replace(" ", _SPACE)
+    return text.encode("utf-8").decode("latin-1").translate(_SHOWN)
+
+
+_SPACE = chr(_SHOWN[0x20])
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -22,35 +46,90 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first: dict[str, bytes] = {}
-        self.next: dict[str, bytes | None] = {"": None}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        if len(self.next) > _PIECES:
-            self.next = {"": None}
-        if len(self.first) > _PIECES:
-            self.first = {}
-        first, follow = self.first, self.next
-        new = list({p[0] for p in split} - first.keys())
-        first.update(zip(new, self._ids(new)))
-        new = list({x for p in split for x in p[1:]} - follow.keys())
-        follow.update((x, None) for x in new if x[:1].isspace())
-        new = [x for x in new if not x[:1].isspace()]
-        follow.update(zip(new, self._ids([" " + x for x in new])))
+        self.merges = self.tokenizer.model.tokenize
+        self.coded = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        self.words: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.line = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, text: str) -> bytes:
+        known = self.coded
+        return b"".join([known[t.id] for t in self.merges(_shown(text))])
+
+    def _plain(self, part: str) -> bytes:
+        """Ids of what stands at the start of a line or text."""
+        ids = self.plain.get(part)
+        if ids is None:
+            ids = self.plain[part] = self.whole(part)
+        return ids
+
+    def _spaced(self, part: str) -> bytes:
+        """Ids of a part behind a space."""
+        ids = self.words.get(part)
+        if ids is not None:
+            return ids
+        core = part.rstrip(_MARKS)
+        if len(core) < len(part):
+            if not core.isalpha():
+                return self.whole(" " + part)
+            return self._spaced(core) + self._plain(part[len(core) :])
+        ids = self.words[part] = self._letters(" " + part) if part.isalpha() else self.whole(" " + part)
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece behind a space, which starts with no white space."""
+        above, feed, below = piece.partition("\n")
+        if not feed:
+            return self._spaced(piece)
+        if not below or below[0].isspace() or above[-1].isspace() or "\n" in below:
+            return self.whole(" " + piece)
+        return self._spaced(above) + self.line + self._plain(below)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; a null has none."""
         out: list[bytes] = []
-        for text, pieces in zip(texts, split):
-            head = first[pieces[0]]
-            try:
-                out.append(head + b"".join([follow[x] for x in pieces[1:]]))
-            except TypeError:  # a space before white space
-                out.append(self._ids([text])[0])
+        texts = texts.cast(pa.large_string())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(texts):
+            start = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, start + _BYTES, side="right")))
+            out += self._encode(pc.fill_null(texts[lo:hi], ""))
+            lo = hi
         return out
 
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        if len(self.words) > _WORDS:
+            self.words.clear()
+        if len(self.plain) > _WORDS // 4:
+            self.plain.clear()
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        pieces = split.flatten()
+        coded = pieces.dictionary_encode()
+        found, odd = [], []
+        for i, piece in enumerate(coded.dictionary.to_numpy(zero_copy_only=False).tolist()):
+            if not piece or piece[0].isspace():
+                odd.append(i)
+                found.append(b"")
+            else:
+                found.append(self.piece(piece))
+        which = coded.indices.to_numpy()
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        data = memoryview(ids.buffers()[2] or b"")
+        slow = set()
+        if odd:  # a space before white space: its text is encoded whole; at a text's start there is no space
+            strange = np.isin(which, odd)
+            strange[bounds[:-1]] = False
+            slow = set((np.searchsorted(bounds, np.flatnonzero(strange), side="right") - 1).tolist())
+        heads = pieces.take(pa.array(bounds[:-1])).to_pylist()
+        spans = zip(heads, ends[bounds[:-1] + 1].tolist(), ends[bounds[1:]].tolist())
+        return [self.whole(texts[i].as_py()) if i in slow else self._plain(head) + data[a:b] for i, (head, a, b) in enumerate(spans)]
+
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and vocabulary."""
