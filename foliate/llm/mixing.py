@@ -7,11 +7,15 @@ the logistic domain, are summed under weights that a gate selects (the bit's pla
 longest contexts have seen), and an adaptive map refines the result by its own record. The sum of -log2 p over all
 bits is an exact code length: total bits, and bits a byte.
 
+All contexts carry the text's class, one of the most frequent values of a column of the training rows (languages). A
+text to score has no class: the frequent words choose the most probable one, and naming it is part of the code, so
+the result is the logarithm of a probability whatever the class.
+
 Training gathers the counts of all training words, distributed: words are counted, every distinct word adds its count
 to its slots, and weights are learned online over the words of each partition (a word's own count taken out of its
 slots, so that it is predicted as if unseen) and averaged by what each partition has seen. Contexts end at the word's
-start, so a word's code length depends on the word alone: it is computed once for each distinct word of a batch, and
-once for all for the most frequent words.
+start, so a word's code length depends on the word and class alone: it is computed once for each distinct word of a
+batch, and once for all for the most frequent words.
 
 The tables have a fixed number of slots and the frequent words a fixed bound; both are broadcast. The counts of all
 other words reach the documents by a join.
@@ -32,7 +36,9 @@ from foliate.llm.base import mapped, remainder, space_words, written
 END = b"\0"
 HEAD_WORDS = 1 << 16
 #: Slots of each context: last byte, two, three, four bytes, whole word so far.
-SLOTS = (1 << 16, 1 << 19, 1 << 19, 1 << 20, 1 << 20)
+SLOTS = (1 << 18, 1 << 19, 1 << 20, 1 << 20, 1 << 22)
+#: Classes beside the one of all other rows.
+MAX_CLASSES = 15
 OFFSETS = np.concatenate([[0], np.cumsum(SLOTS)])
 N_CTX = len(SLOTS)
 GATES = 8 * 4 * 4
@@ -54,13 +60,14 @@ _SEEN = np.add.outer(LEVEL_VALUES, LEVEL_VALUES).reshape(-1)
 _CONFIDENCE = np.digitize(_SEEN, [1, 4, 32]).astype(np.int32)
 
 
-def words_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_bits(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, slots, bit) of every coded bit of the words: slots has a row for each context."""
     coded = [w if w == END else w + b" " for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
     raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(raw)) - start
+    own = np.repeat(np.asarray(classes, np.uint64), sizes) << np.uint64(48)
     back = []
     for k in range(1, 5):
         b = np.full(len(raw), 32, np.uint64)
@@ -80,14 +87,13 @@ def words_bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         before = run - terms
         prefix = before - before[start] if len(raw) else before
         prefix = prefix * mult + place.astype(np.uint64)
-        hashes = [(c + np.uint64(i + 1)) * mult for i, c in enumerate((o2, o3, o4, prefix))]
+        hashes = [((c | own if i < 4 else c ^ own * mult) + np.uint64(i + 1)) * mult for i, c in enumerate((o1, o2, o3, o4, prefix))]
         slots = np.empty((N_CTX, len(raw), 8), np.int32)
         bits = np.empty((len(raw), 8), np.int8)
         node = np.ones(len(raw), np.uint64)
         for j in range(8):
             bit = raw >> np.uint64(7 - j) & np.uint64(1)
-            slots[0, :, j] = (o1 << np.uint64(8) | node).astype(np.int32)
-            for i, h in enumerate(hashes, 1):
+            for i, h in enumerate(hashes):
                 x = (h ^ node * np.uint64(0xD6E8FEB86659FD93)) * mult
                 slots[i, :, j] = (x >> np.uint64(64 - SLOTS[i].bit_length() + 1)).astype(np.int32) + np.int32(OFFSETS[i])
             bits[:, j] = bit
@@ -119,12 +125,12 @@ class MixingModel:
     def _bucket(x: np.ndarray) -> np.ndarray:
         return np.clip(np.round(x * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int32)
 
-    def log10(self, words: list[bytes], step: int = 20_000) -> np.ndarray:
-        """log10 of the probability of each word with its space (of END: alone)."""
+    def log10(self, words: list[bytes], classes: np.ndarray, step: int = 10_000) -> np.ndarray:
+        """log10 of the probability of each word with its space (of END: alone) in its class."""
         out = np.zeros(len(words))
         for lo in range(0, len(words), step):
             part = words[lo : lo + step]
-            word, slots, bit = words_bits(part)
+            word, slots, bit = words_bits(part, classes[lo : lo + step])
             x = self._mixed(self.cells[slots])[0]
             if self.refined:
                 x = x + self.refine[np.arange(len(x)) & 7, self._bucket(x)]
@@ -133,17 +139,18 @@ class MixingModel:
             out[lo : lo + step] = -np.bincount(word, nats, len(part)) / np.log(10)
         return out
 
-    def learn(self, words: list[bytes], counts: np.ndarray, rate: float = 0.02, step: int = 256) -> float:
-        """One online pass over distinct words and their counts; returns the counts' sum."""
+    def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, rate: float = 0.05, step: int = 512) -> float:
+        """One online pass over distinct words and their counts, in steps scaled by the inputs' squares; returns the
+        counts' sum."""
         for lo in range(0, len(words), step):
-            word, slots, bit = words_bits(words[lo : lo + step])
+            word, slots, bit = words_bits(words[lo : lo + step], classes[lo : lo + step])
             x, inputs, gates = self._mixed(self._without(self.cells[slots], bit))
-            n = np.minimum(counts[lo : lo + step], 64).astype(np.float32)[word]
+            n = counts[lo : lo + step].astype(np.float32)[word]
             error = (bit - 1 / (1 + np.exp(-np.clip(x, -20, 20)))) * n
-            total = np.bincount(gates, n, GATES) + 1
             for i in range(N_CTX + 1):
-                gradient = np.bincount(gates, error * inputs[i] if i < N_CTX else error, GATES)
-                self.weights[:, i] += (rate * gradient / total * np.minimum(total, 32) / 4).astype(np.float32)
+                given = inputs[i] if i < N_CTX else np.ones_like(error)
+                gradient, scale = np.bincount(gates, error * given, GATES), np.bincount(gates, n * given * given, GATES)
+                self.weights[:, i] += (rate * gradient / (scale / 10 + 50)).astype(np.float32)
         return float(counts.sum())
 
     @staticmethod
@@ -154,11 +161,11 @@ class MixingModel:
         zeros = np.where((bit == 0) & (zeros > 0) & (zeros <= _EXACT), zeros - 1, zeros)
         return zeros << 6 | ones
 
-    def residuals(self, words: list[bytes], counts: np.ndarray, step: int = 20_000) -> np.ndarray:
+    def residuals(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, step: int = 10_000) -> np.ndarray:
         """For each bit place and bucket: weight, ones, and the sum of the predictions."""
         out = np.zeros((3, 8 * BUCKETS))
         for lo in range(0, len(words), step):
-            word, slots, bit = words_bits(words[lo : lo + step])
+            word, slots, bit = words_bits(words[lo : lo + step], classes[lo : lo + step])
             x = self._mixed(self._without(self.cells[slots], bit))[0]
             at = (np.arange(len(x)) & 7) * BUCKETS + self._bucket(x)
             n = counts[lo : lo + step].astype(np.float64)[word]
@@ -168,51 +175,53 @@ class MixingModel:
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n) over the texts in column ``text``; the end of each text is the word END."""
+    """(class, word, n) over rows (class, text); the end of each text is the word END."""
 
     def run(batches):
         for batch in batches:
-            seen: dict[bytes, int] = {}
-            texts = batch.column(0).to_pylist()
-            for t in texts:
+            seen: dict[int, dict[bytes, int]] = {}
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = seen.setdefault(k, {})
                 for w in space_words(t or b""):
-                    seen[w] = seen.get(w, 0) + 1
-            seen[END] = seen.get(END, 0) + len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                    own[w] = own.get(w, 0) + 1
+                own[END] = own.get(END, 0) + 1
+            for k, own in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["class", "word", "n"])
 
-    return mapped(training.select(F.col("text").cast("binary")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = mapped(training.select("class", F.col("text").cast("binary")), run, "class int, word binary, n long", rows=8000)
+    return counted.groupBy("class", "word").agg(F.sum("n").alias("n"))
 
 
 def _batched(batches, size: int = 50_000):
-    """(words, counts) in groups of about ``size``."""
-    words, counts = [], []
+    """(words, classes, counts) in groups of about ``size``."""
+    words, classes, counts = [], [], []
     for batch in batches:
-        words += batch.column(0).to_pylist()
-        counts.append(batch.column(1).to_numpy())
+        words += batch.column(1).to_pylist()
+        classes.append(batch.column(0).to_numpy())
+        counts.append(batch.column(2).to_numpy())
         if len(words) >= size:
-            yield words, np.concatenate(counts)
-            words, counts = [], []
+            yield words, np.concatenate(classes), np.concatenate(counts)
+            words, classes, counts = [], [], []
     if words:
-        yield words, np.concatenate(counts)
+        yield words, np.concatenate(classes), np.concatenate(counts)
 
 
 def slot_counts(words: DataFrame) -> DataFrame:
-    """(chunk, counts): zeros and ones of CHUNK consecutive slots, as unsigned 32-bit integers, compressed."""
+    """(chunk, cells): the cells of CHUNK consecutive slots, compressed, from the words of all partitions."""
 
     def run(batches):
         table = None
-        for group, n in _batched(batches):
+        for group, classes, n in _batched(batches):
             if table is None:
-                table = np.zeros((int(OFFSETS[-1]), 2), np.float64)
+                table = np.zeros(2 * int(OFFSETS[-1]), np.uint32)
             for lo in range(0, len(group), 10_000):
-                word, slots, bit = words_bits(group[lo : lo + 10_000])
-                weight = n[lo : lo + 10_000].astype(np.float64)[word]
+                word, slots, bit = words_bits(group[lo : lo + 10_000], classes[lo : lo + 10_000])
+                weight = n[lo : lo + 10_000].astype(np.uint32)[word]
                 for row in slots:
-                    np.add.at(table.reshape(-1), row * 2 + bit, weight)
+                    np.add.at(table, row * 2 + bit, weight)
         if table is not None:
-            whole = np.minimum(table, 0xFFFFFFFF).astype("<u4")
-            for c in range(0, len(whole), CHUNK):
-                part = whole[c : c + CHUNK]
+            for c in range(0, len(table) // 2, CHUNK):
+                part = table[2 * c : 2 * (c + CHUNK)]
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
@@ -220,15 +229,14 @@ def slot_counts(words: DataFrame) -> DataFrame:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(data), "<u4").astype(np.uint64)
+                part = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
                 sums[c] = sums[c] + part if c in sums else part
         for c, total in sums.items():
-            level = np.searchsorted(LEVEL_VALUES, total, side="right").astype(np.uint16) - 1
-            level = np.minimum(level, 63).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([(level[:, 0] << 6 | level[:, 1]).astype("<u2").tobytes()], pa.binary())], ["chunk", "cells"])
+            level = np.minimum(np.searchsorted(LEVEL_VALUES, total, side="right") - 1, 63).astype(np.uint16).reshape(-1, 2)
+            cells = (level[:, 0] << 6 | level[:, 1]).astype("<u2")
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], ["chunk", "cells"])
 
-    parts = mapped(words, run, "chunk long, counts binary")
-    return parts.repartition(F.col("chunk")).mapInArrow(add, "chunk long, cells binary")
+    return mapped(words, run, "chunk long, counts binary", rows=10_000).repartition(F.col("chunk")).mapInArrow(add, "chunk long, cells binary")
 
 
 def fit(words: DataFrame) -> MixingModel:
@@ -236,7 +244,7 @@ def fit(words: DataFrame) -> MixingModel:
     context = words.sparkSession.sparkContext
     cells = np.zeros(int(OFFSETS[-1]), np.uint16)
     for row in slot_counts(words).toArrow().to_pylist():
-        part = np.frombuffer(row["cells"], "<u2")
+        part = np.frombuffer(zlib.decompress(row["cells"]), "<u2")
         cells[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     model = MixingModel(cells)
     shared = context.broadcast(model)
@@ -244,15 +252,15 @@ def fit(words: DataFrame) -> MixingModel:
     def learn(batches):
         own = None
         seen = 0.0
-        for group, n in _batched(batches):
+        for group, classes, n in _batched(batches):
             if own is None:
                 own = MixingModel(shared.value.cells, shared.value.weights.copy())
-            seen += own.learn(group, n)
+            seen += own.learn(group, classes, n)
         if own is not None:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.weights.astype("<f4").tobytes()], pa.binary())], ["seen", "weights"])
 
     total, mean = 0.0, np.zeros((GATES, N_CTX + 1))
-    for row in mapped(words, learn, "seen double, weights binary").toLocalIterator():
+    for row in mapped(words, learn, "seen double, weights binary", rows=10_000).toLocalIterator():
         mean += row["seen"] * np.frombuffer(row["weights"], "<f4").reshape(GATES, N_CTX + 1)
         total += row["seen"]
     if total:
@@ -261,11 +269,11 @@ def fit(words: DataFrame) -> MixingModel:
 
     def residuals(batches):
         own = MixingModel(shared.value.cells, weights.value)
-        sums = sum((own.residuals(group, n) for group, n in _batched(batches)), np.zeros((3, 8 * BUCKETS)))
+        sums = sum((own.residuals(*group) for group in _batched(batches)), np.zeros((3, 8 * BUCKETS)))
         yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["sums"])
 
     sums = np.zeros((3, 8 * BUCKETS))
-    for row in mapped(words, residuals, "sums binary").toLocalIterator():
+    for row in mapped(words, residuals, "sums binary", rows=10_000).toLocalIterator():
         sums += np.frombuffer(row["sums"], "<f8").reshape(3, -1)
     n, ones, predicted = sums
     fit_to, fit_from = (ones + 0.5) / (n + 1), (predicted + 0.5) / (n + 1)
@@ -274,54 +282,65 @@ def fit(words: DataFrame) -> MixingModel:
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 5, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out_mod: int = 5, head_words: int = HEAD_WORDS) -> DataFrame:
     """The id, held_out, n_tokens, n_known, train_tokens, base_score, score, and bits_per_byte of the coded text.
 
     Training texts are those of rows whose crc32(id) mod ``held_out_mod`` is not 1; a null id is no training text and
-    not held out. A null text is empty: its end alone. Repeated rows are trained on and scored each. Without any
-    training text N and V are zero, counts are zero, and base_score is still defined.
+    not held out. Their classes are the MAX_CLASSES most frequent values of ``class_col``; all other rows, those of a
+    null value too, are one more. A null text is empty: its end alone. Repeated rows are trained on and scored each.
+    Without any training text N and V are zero, counts are zero, and base_score is still defined.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    label = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), label.alias("label"))
     part = remainder("id", held_out_mod)
-    words = written(word_counts(rows.where(part != 1)), "words")
+    training = rows.where(part != 1)
+    named = [r["label"] for r in training.where("label is not null").groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_CLASSES).collect()]
+    number = F.lit(0)
+    for i, name in enumerate(named, 1):
+        number = F.when(F.col("label") == name, i).otherwise(number)
+    by_class = written(word_counts(training.select(number.alias("class"), "text")), "class-words")
+    words = written(by_class.groupBy("word").agg(F.sum("n").alias("n")), "words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(totals["n"]), int(totals["v"])
-    model = fit(words)
+    model = fit(by_class)
+    texts = {r["class"]: r["n"] for r in by_class.where(F.col("word") == END).collect()}
+    used = np.array(sorted(texts) or [0])
+    prior = np.log10(np.array([texts.get(k, 1) for k in used]) / max(1, sum(texts.values())))
     head = words.orderBy(F.col("word") != END, F.desc("n"), "word").limit(head_words).toArrow()  # END is always one
     known = head.column("word").to_pylist()
-    model_logs = model.log10(known)
-    end_log = float(model.log10([END])[0])
-    shared = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(known)}, np.log10(head.column("n").to_numpy() + 0.5), model_logs))
+    logs = np.stack([model.log10(known, np.full(len(known), k)) for k in used])
+    ends = np.array([model.log10([END], np.array([k]))[0] for k in used])
+    shared = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(known)}, np.log10(head.column("n").to_numpy() + 0.5), logs.astype(np.float32), used, prior + ends))
     seen_end = END in known
     names = ["row", "id", "held_out", "n_tokens", "head_tokens", "head_base", "score", "coded_bytes", "tail"]
 
     def run(batches):
-        model, place, base_logs, logs = shared.value
-        logs, base_logs = np.append(logs, 0.0), np.append(base_logs, 0.0)
-        get = place.get
+        model, place, base_logs, logs, used, start = shared.value
+        logs, base_logs = np.pad(logs, ((0, 0), (0, 1))), np.append(base_logs, 0.0)  # place -1: what is not frequent
+        get, end = place.get, place.get(END)
+        end_base = float(base_logs[end]) if end is not None else float(np.log10(0.5))
         for batch in batches:
-            texts = batch.column(3).to_pylist()
-            split = [space_words(t) for t in texts]
+            split = [space_words(t) for t in batch.column(3).to_pylist()]
             ids = [np.fromiter((get(w, -1) for w in s), np.int64, len(s)) for s in split]
             tails = [[s[i] for i in np.flatnonzero(x < 0).tolist()] for s, x in zip(split, ids)]
-            rare = list({w for t in tails for w in t})
-            rare_logs = dict(zip(rare, model.log10(rare).tolist()))
-            out = [[] for _ in range(5)]
-            for s, x, tail in zip(split, ids, tails):
-                hits = int((x >= 0).sum())
-                base, own = float(base_logs[x].sum()), float(logs[x].sum()) + sum(rare_logs[w] for w in tail)
-                # END is a token of every text; if no training text gave it, its count is zero
-                end = place.get(END)
-                base += float(base_logs[end]) if end is not None else float(np.log10(0.5))
-                for c, v in zip(out, (len(s) + 1, hits + seen_end, base, own + end_log, sum(map(len, s)) + len(s) + 1)):
-                    c.append(v)
+            best, own = [], []
+            for x in ids:
+                by_class = start + logs[:, x].sum(axis=1, dtype=np.float64)
+                best.append(int(by_class.argmax()))
+                own.append(float(by_class[best[-1]]))
+            rare = list({(k, w) for k, t in zip(best, tails) for w in t})
+            costs = dict(zip(rare, model.log10([w for _, w in rare], used[[k for k, _ in rare]] if rare else used[:0]).tolist()))
+            columns = [
+                [len(s) + 1 for s in split], [int((x >= 0).sum()) + seen_end for x in ids], [float(base_logs[x].sum()) + end_base for x in ids],
+                [o + sum(costs[k, w] for w in t) for o, k, t in zip(own, best, tails)], [sum(map(len, s)) + len(s) + 1 for s in split],
+            ]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(out, kinds)), pa.array(tails, pa.list_(pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(tails, pa.list_(pa.binary()))], names)
 
     kind = rows.schema["id"].dataType.simpleString()
     source = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
-    scored = written(mapped(source, run, f"row long, id {kind}, held_out boolean, n_tokens long, head_tokens long, head_base double, score double, coded_bytes long, tail array<binary>"), "scored")
+    scored = written(mapped(source, run, f"row long, id {kind}, held_out boolean, n_tokens long, head_tokens long, head_base double, score double, coded_bytes long, tail array<binary>", rows=8000), "scored")
     rare = scored.select("row", F.explode("tail").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("k"))
     counted = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("k"))).alias("tail_known"))
     out = scored.drop("tail").join(counted, "row", "left")
