@@ -83,3 +83,9 @@ def parent_elements(elements: DataFrame, edges: DataFrame) -> DataFrame:
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def has_structure(elements: DataFrame, documents: DataFrame) -> DataFrame:
+    """(source_id, has_structure): whether a document has any element."""
+    some = elements.select("source_id").distinct().withColumn("found", F.lit(True))
+    return documents.select("source_id").join(some, "source_id", "left").select("source_id", F.coalesce("found", F.lit(False)).alias("has_structure"))

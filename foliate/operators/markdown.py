@@ -11,6 +11,7 @@ time linear in its size but for emphasis and brackets within a paragraph.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -410,13 +411,14 @@ _BLOCK_TYPE = pa.list_(pa.struct([
 ]))
 
 
-def blocks(docs: DataFrame, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
-    """(source_id, text, blocks): one row a document, blank texts with no blocks."""
+def blocks(docs: DataFrame, id_col: str = "source_id", text_col: str = "text", parser: Callable[[str], list[dict]] = document_blocks) -> DataFrame:
+    """(source_id, text, blocks): one row a document, blank texts with no blocks. ``parser`` may be any function that
+    gives rows of the same fields."""
     rows = docs.select(F.col(id_col).cast("string").alias("source_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for batch in batches:
-            parsed = [document_blocks(t) if t and t.strip() else [] for t in batch.column(1).to_pylist()]
+            parsed = [parser(t) if t and t.strip() else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parsed, _BLOCK_TYPE)], ["source_id", "text", "blocks"])
 
     return rows.mapInArrow(run, f"source_id string, text string, blocks array<{BLOCK}>")

@@ -121,3 +121,32 @@ def children(chunks: DataFrame) -> DataFrame:
 def roots(chunks: DataFrame) -> DataFrame:
     """Chunks without a parent id."""
     return chunks.where("parent_id is null")
+
+
+def derived(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with content_length, total_length (clean title and content), is_root and full_path."""
+    content = F.coalesce(F.length("content"), F.lit(0)).cast("bigint")
+    return chunks.withColumns({
+        "content_length": content, "total_length": F.coalesce(F.length("clean_title"), F.lit(0)) + content, "is_root": F.col("parent_id").isNull(), "full_path": F.array_join("heading_hierarchy", " > "),
+    })
+
+
+def with_updates(chunks: DataFrame, **columns: Column) -> DataFrame:
+    """``chunks`` with new values for some columns; where a new value is null the old one stays."""
+    unknown = set(columns) - set(chunks.columns)
+    if unknown:
+        raise ValueError(f"no such columns: {sorted(unknown)}")
+    return chunks.withColumns({name: F.coalesce(value, F.col(name)) for name, value in columns.items()})
+
+
+def outline(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame:
+    """(source_id, seq, line): headings in order, each indented by how many chunks stand above it."""
+    rows = docs.select("source_id", section_array(F.col("text"), rules).alias("s"))
+
+    def depths(s: Column) -> Column:
+        start = F.array().cast("array<int>")
+        return F.aggregate(s, start, lambda a, x: F.concat(a, F.array(F.when(x["parent_seq"].isNull(), 0).otherwise(F.get(a, (x["parent_seq"] - 1).cast("int")) + 1))))
+
+    line = lambda x, d: F.concat(F.repeat(F.lit("  "), d), F.lit("["), x["chunk_type"], F.lit("] "), x["clean_title"])
+    made = let(rows["s"], lambda s: let(depths(s), lambda d: F.transform(s, lambda x, i: F.struct(x["seq"].alias("seq"), line(x, F.get(d, i)).alias("line")))))
+    return rows.select("source_id", F.explode(made).alias("x")).select("source_id", "x.*")

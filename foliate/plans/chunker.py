@@ -44,18 +44,20 @@ class DocumentGraph:
 class Chunker:
     """Chunks by line patterns, or with ``structure_first`` by Markdown blocks.
 
-    ``extractor`` is ``simple``, ``cleaned`` or a function of (content, k) that gives an array column. Without a
+    ``strategy`` replaces both: a function from documents (source_id, text) to chunks with source_id, chunk_id, parent_id,
+    clean_title and content. ``extractor`` is ``simple``, ``cleaned`` or a function of (content, k) that gives an array column. Without a
     config nothing is split or overlapped and ten keywords are extracted. All tables are lazy; a plan of the pattern
     path has no exchange unless keywords are inherited.
     """
 
-    def __init__(self, config: ChunkerConfig | None = None, rules: Sequence[Rule] = DEFAULT_RULES, extractor: str | Callable[[Column, int], Column] = "simple", structure_first: bool = False):
+    def __init__(self, config: ChunkerConfig | None = None, rules: Sequence[Rule] = DEFAULT_RULES, extractor: str | Callable[[Column, int], Column] = "simple", structure_first: bool = False, strategy: Callable[[DataFrame], DataFrame] | None = None):
         self.config = config.validate() if config is not None else None
         self.rules = ordered(rules)
         self.extract = EXTRACTORS[extractor] if isinstance(extractor, str) else extractor
         if self.extract is None:
             raise ValueError("an extractor is needed")
         self.structure_first = structure_first
+        self.strategy = strategy
 
     @classmethod
     def create_structure_first(cls, config: ChunkerConfig | None = None) -> Chunker:
@@ -82,6 +84,8 @@ class Chunker:
     def process(self, docs: DataFrame, strict: bool = False) -> DocumentGraph:
         """Chunks of documents (source_id, text). Blank ones give none; with ``strict`` they stop the query."""
         docs = checked(docs, strict)
+        if self.strategy:
+            return DocumentGraph(self._with_keywords(self.strategy(docs)))
         if self.structure_first:
             return DocumentGraph(self._with_keywords(el.block_chunks(blocks(docs))))
         rows = self.sections(docs).select("source_id", F.explode("sections").alias("s")).select("source_id", "s.*")
@@ -96,7 +100,7 @@ class Chunker:
 
         Parsing is deterministic, so each table may parse anew; persist ``docs`` or write the tables to parse once.
         """
-        if not self.structure_first:
+        if not self.structure_first or self.strategy:
             return self.process(docs, strict)
         parsed = blocks(checked(docs, strict))
         return DocumentGraph(self._with_keywords(el.block_chunks(parsed)), el.elements(parsed), el.edges(parsed))

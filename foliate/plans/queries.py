@@ -181,6 +181,23 @@ _CLOSURE = """, up(source_id, seq, above, depth) as (
 """
 
 
+@query(o.BASE + "select source_id, seq, cast(length(content) as bigint) as content_length, cast(length(clean_title) + length(content) as bigint) as total_length, parent_seq is null as is_root from sections")
+def chunk_derived(s, d):
+    return structure.derived(_sections(s, d)).select("source_id", "seq", "content_length", "total_length", "is_root")
+
+
+@query(o.BASE + "select source_id, seq, case when content = '' then '(none)' else content end as content, clean_title from sections")
+def chunk_updates(s, d):
+    rows = structure.with_updates(_sections(s, d), content=F.when(F.col("content") == "", "(none)"))
+    return rows.select("source_id", "seq", "content", "clean_title")
+
+
+@query(o.BASE + _CLOSURE + """, deepest as (select source_id, seq, max(depth) as depth from up group by all)
+select s.source_id, s.seq, repeat('  ', coalesce(depth, 0)) || '[' || chunk_type || '] ' || clean_title as line from sections s left join deepest using (source_id, seq)""")
+def chunk_outline(s, d):
+    return structure.outline(_docs(s, d))
+
+
 @query(o.BASE + _CLOSURE + f"select source_id, {_ID} as chunk_id, source_id || '#' || above as ancestor_id, cast(depth as bigint) as depth from up")
 def ancestors(s, d):
     return graph.closure_by_stack(_section_arrays(s, d)).withColumn("depth", F.col("depth").cast("bigint"))
@@ -490,6 +507,12 @@ def edge_histogram(s, d):
     return graph.histogram(el.edges(_parsed(s, d)), "relationship_type")
 
 
+@query(o.MARKDOWN + "select cast(d.doc_id as varchar) as source_id, exists (select 1 from elements e where e.source_id = cast(d.doc_id as varchar)) as has_structure from documents d")
+def structure_present(s, d):
+    parsed = _parsed(s, d)
+    return graph.has_structure(el.elements(parsed), parsed)
+
+
 @query(o.MARKDOWN + "select element_type, count(*) as n from elements group by 1")
 def element_histogram(s, d):
     return graph.histogram(el.elements(_parsed(s, d)), "element_type")

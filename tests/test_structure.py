@@ -199,3 +199,12 @@ def test_packing_model(spark, texts, limit):
         assert found == cut
         assert by_sentence == packed(cut, limit, lambda c, s: len(c) + len(s), lambda c, s: c + s + " " * (not s.endswith(" ")))
         assert by_word == packed(re.findall(r"[^ \t\n\r]+", text), limit, lambda c, w: len(c) + len(w) + 1, lambda c, w: f"{c} {w}" if c else w)
+
+
+def test_own_strategy(spark):
+    df = spark.createDataFrame([("d", "alpha beta")], "source_id string, text string")
+    whole = lambda docs: docs.select("source_id", F.col("source_id").alias("chunk_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("").alias("clean_title"), F.col("text").alias("content"))
+    rows = Chunker(strategy=whole).process(df).chunks.collect()
+    assert [(r["chunk_id"], r["keywords"]) for r in rows] == [("d", ["alpha", "beta"])]
+    with pytest.raises(ValueError):
+        structure.with_updates(df, missing=F.lit(1))
