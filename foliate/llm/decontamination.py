@@ -74,7 +74,7 @@ def index(docs: DataFrame, vocabulary, id_col: str = "row", text_col: str = "tex
     names = [x.split()[0] for x in SEGMENT.split(", ")]
 
     def run(batches):
-        get = vocabulary.value.get
+        get, words_by = vocabulary.value.get, list(vocabulary.value)
         for batch in batches:
             rows, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for lo in range(0, len(texts), segment_docs):
@@ -93,22 +93,12 @@ def index(docs: DataFrame, vocabulary, id_col: str = "row", text_col: str = "tex
                     rows[lo : lo + segment_docs].astype("<i8").tobytes(), np.array(lengths, "<i4").tobytes(), None,
                     np.append(starts, len(at)).astype("<i8").tobytes(), doc[at].astype("<i4").tobytes(), pos[at].astype("<i4").tobytes(),
                 ]
-                cols[2] = [words_by[i] for i in found.tolist()] if (words_by := _numbered(vocabulary.value)) else []
+                cols[2] = [words_by[i] for i in found.tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, kinds)], names)
 
     return mapped(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")), run, SEGMENT)
 
 
-_names: dict[int, list[bytes]] = {}
-
-
-def _numbered(vocabulary: dict[bytes, int]) -> list[bytes]:
-    if id(vocabulary) not in _names:
-        _names.clear()
-        _names[id(vocabulary)] = list(vocabulary)
-    return _names[id(vocabulary)]
-
-
 class Segment:
     def __init__(self, docs, lengths, terms, starts, post_doc, post_pos):
         self.docs = np.frombuffer(docs, "<i8")
