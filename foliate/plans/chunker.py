@@ -64,7 +64,10 @@ class Chunker:
         return cls(config, structure_first=True)
 
     def _with_keywords(self, chunks: DataFrame) -> DataFrame:
+        """``chunks`` with their keywords, and an empty ``metadata`` map where a strategy gives none."""
         c = self.config or ChunkerConfig()
+        if "metadata" not in chunks.columns:
+            chunks = chunks.withColumn("metadata", F.create_map().cast("map<string,string>"))
         if not c.extract_keywords:
             return chunks.withColumn("keywords", F.array().cast("array<string>"))
         k = c.max_keywords_per_chunk

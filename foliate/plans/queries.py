@@ -175,6 +175,11 @@ def heading_path(s, d):
     return _sections(s, d).select("source_id", "seq", tx.full_path(F.col("heading_hierarchy")).alias("full_path"), F.size("heading_hierarchy").cast("bigint").alias("depth"))
 
 
+@query(o.BASE + _PATH.replace("select s.source_id, s.seq, coalesce(p.path, '') as full_path, cast(coalesce(p.depth, 0) as bigint) as depth", "select s.source_id || '#' || s.seq as chunk_id, coalesce(p.path, '') as full_path"))
+def full_path(s, d):
+    return structure.derived(_sections(s, d)).select("chunk_id", "full_path")
+
+
 _CLOSURE = """, up(source_id, seq, above, depth) as (
   select source_id, seq, parent_seq, 1 from sections where parent_seq is not null
   union all select u.source_id, u.seq, s.parent_seq, u.depth + 1 from up u join sections s on s.source_id = u.source_id and s.seq = u.above where s.parent_seq is not null)

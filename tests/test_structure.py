@@ -208,3 +208,47 @@ def test_own_strategy(spark):
     assert [(r["chunk_id"], r["keywords"]) for r in rows] == [("d", ["alpha", "beta"])]
     with pytest.raises(ValueError):
         structure.with_updates(df, missing=F.lit(1))
+
+
+CONTRACT = """# Supply Agreement
+
+Between two firms.
+
+## § 1 Scope
+
+The scope.
+
+### 1.1 Goods
+
+Goods are listed.
+
+## § 2 Terms
+
+1. Payment is due.
+1.1 In thirty days.
+
+§ 3 Liability
+
+None beyond the law.
+
+Appendix A: Prices
+Appendix B - Places
+
+A. First place
+B. Second place
+"""
+
+
+def test_contract_document(spark):
+    """Headings win over other patterns on the same line; outline patterns hang under what stands above them."""
+    rows = chunks_of(spark, CONTRACT)
+    assert [(r["chunk_type"], r["level"], r["parent_seq"]) for r in rows] == [
+        ("MarkdownH1", 1, None), ("MarkdownH2", 2, 1), ("MarkdownH3", 3, 2), ("MarkdownH2", 2, 1), ("Numeric", 1, None), ("Numeric", 2, 5), ("Legal", 1, None), ("Appendix", 1, None),
+        ("Appendix", 1, None), ("Letter", 1, None), ("Letter", 1, None),
+    ]
+    assert rows[6]["heading_hierarchy"] == ["Supply Agreement", "§ 2 Terms"] and rows[0]["metadata"] == {}
+
+
+def test_fences_are_no_shelter(spark):
+    rows = chunks_of(spark, "# A\n```python\n# comment\nx = 1\n```\n42 people came")
+    assert [r["clean_title"] for r in rows] == ["A", "comment", "people came"] and rows[2]["chunk_type"] == "Numeric"
