@@ -24,7 +24,9 @@ other words reach the documents by a join.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,25 +49,44 @@ CHUNK = 1 << 16
 _EXACT = 24
 
 
-def _levels() -> tuple[np.ndarray, np.ndarray]:
-    """Counts are kept as one of 64 levels: exact up to _EXACT, then a geometric scale. (bounds, values)."""
+def _levels() -> np.ndarray:
+    """Counts are kept as one of 64 levels: exact up to _EXACT, then a geometric scale."""
     top = np.round(_EXACT * 1.42 ** np.arange(1, 64 - _EXACT)).astype(np.int64)
-    values = np.concatenate([np.arange(_EXACT + 1), top]).astype(np.float64)
-    return values, np.log((values[:, None] * 0 + values[None, :] + 0.4) / (values[:, None] + 0.4))
+    return np.concatenate([np.arange(_EXACT + 1), top]).astype(np.float64)
 
 
-LEVEL_VALUES, STRETCH = _levels()  # STRETCH[zeros, ones]
-_STRETCH = np.ascontiguousarray(np.clip(STRETCH, -9, 9).reshape(-1), np.float32)
-_SEEN = np.add.outer(LEVEL_VALUES, LEVEL_VALUES).reshape(-1)
-_CONFIDENCE = np.digitize(_SEEN, [1, 4, 32]).astype(np.int32)
+LEVEL_VALUES = _levels()
+_ZEROS, _ONES = np.divmod(np.arange(4096), 64)  # a cell is the level of zeros * 64 + the level of ones
+_STRETCH = np.clip(np.log((LEVEL_VALUES[_ONES] + 0.4) / (LEVEL_VALUES[_ZEROS] + 0.4)), -9, 9).astype(np.float32)
+_CONFIDENCE = np.digitize(LEVEL_VALUES[_ZEROS] + LEVEL_VALUES[_ONES], [1, 4, 32]).astype(np.uint8)
+#: A cell as if one occurrence of the coded bit (rows: 0, 1) had not been seen; exact levels only.
+_less = lambda level: np.where((level > 0) & (level <= _EXACT), level - 1, level)
+_WITHOUT = np.concatenate([_less(_ZEROS) << 6 | _ONES, _ZEROS << 6 | _less(_ONES)]).astype(np.uint16)
+#: For each half of a byte the marked bits that came before each of its four.
+_NODES = (np.arange(16) >> np.arange(4, 0, -1)[:, None] | 1 << np.arange(4)[:, None]).astype(np.int32)
+_PLACES = np.arange(8)[:, None]
+#: -ln of the logistic function at multiples of 1 / 128.
+_FINE = 128
+_NATS = np.log1p(np.exp(-np.arange(-16 * _FINE, 16 * _FINE + 1) / _FINE)).astype(np.float32)
+
+
+def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, mode="clip")
 
 
 def words_bits(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, slots, bit) of every coded bit of the words: slots has a row for each context."""
+    """(starts, slots, bits) of all coded bytes of the words: starts are the words' first bytes, bits has a row for each
+    bit of a byte, and slots has such rows for each context.
+
+    A context is hashed once for each half of a byte; the bits before a bit in its half flip the lowest bits of the
+    slot, so a half's slots lie together and are used evenly.
+    """
     coded = [w if w == END else w + b" " for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    octets = np.frombuffer(b"".join(coded), np.uint8)
+    raw = octets.astype(np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    start = np.repeat(starts, sizes)
     place = np.arange(len(raw)) - start
     own = np.repeat(np.asarray(classes, np.uint64), sizes) << np.uint64(48)
     back = []
@@ -74,11 +95,12 @@ def words_bits(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.
         b[k:] = raw[:-k]
         b[place < k] = 32
         back.append(b)
-    mult = np.uint64(0x9E3779B97F4A7C15)
+    mult, half = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
     o1 = back[0]
     o2 = o1 | back[1] << np.uint64(8)
     o3 = o2 | back[2] << np.uint64(16)
     o4 = o3 | back[3] << np.uint64(24) | np.minimum(place, 4).astype(np.uint64) << np.uint64(32)
+    slots = np.empty((N_CTX, 8, len(raw)), np.int32)
     # the word so far: a sum of powers, taken relative to the word's start
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(int(sizes.max()) if len(sizes) else 0, np.uint64(0x100000001B3)), dtype=np.uint64)
@@ -87,112 +109,122 @@ def words_bits(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.
         before = run - terms
         prefix = before - before[start] if len(raw) else before
         prefix = prefix * mult + place.astype(np.uint64)
-        hashes = [((c | own if i < 4 else c ^ own * mult) + np.uint64(i + 1)) * mult for i, c in enumerate((o1, o2, o3, o4, prefix))]
-        slots = np.empty((N_CTX, len(raw), 8), np.int32)
-        bits = np.empty((len(raw), 8), np.int8)
-        node = np.ones(len(raw), np.uint64)
-        for j in range(8):
-            bit = raw >> np.uint64(7 - j) & np.uint64(1)
-            for i, h in enumerate(hashes):
-                x = (h ^ node * np.uint64(0xD6E8FEB86659FD93)) * mult
-                slots[i, :, j] = (x >> np.uint64(64 - SLOTS[i].bit_length() + 1)).astype(np.int32) + np.int32(OFFSETS[i])
-            bits[:, j] = bit
-            node = node << np.uint64(1) | bit
-    return np.repeat(np.repeat(np.arange(len(words)), sizes), 8), slots.reshape(N_CTX, -1), bits.reshape(-1)
+        high, low = octets >> 4, octets & 15
+        told = (high.astype(np.uint64) + np.uint64(1)) * half
+        upper, lower = _NODES[:, high], _NODES[:, low]
+        for i, c in enumerate((o1, o2, o3, o4, prefix)):
+            h = ((c | own if i < 4 else c ^ own * mult) + np.uint64(i + 1)) * mult
+            h ^= h >> np.uint64(29)
+            shift = np.uint64(64 - SLOTS[i].bit_length() + 1)
+            for at, key, nodes in ((0, h * half, upper), (4, (h ^ told) * mult, lower)):
+                base = (key >> shift).astype(np.int32) + np.int32(OFFSETS[i])
+                np.bitwise_xor(base, nodes, out=slots[i, at : at + 4])
+    return starts, slots, (octets >> np.arange(7, -1, -1, dtype=np.uint8)[:, None]) & 1
 
 
 @dataclass
 class MixingModel:
-    cells: np.ndarray  # of each slot: level of zeros * 64 + level of ones
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, N_CTX + 1), 0.3, np.float32))
-    refine: np.ndarray = field(default_factory=lambda: np.zeros((8, BUCKETS), np.float32))
+    cells: np.ndarray  # one a slot
+    weights: np.ndarray = field(default_factory=lambda: np.full((N_CTX + 1, GATES), 0.3, np.float32))
+    refine: np.ndarray = field(default_factory=lambda: np.zeros(8 * BUCKETS, np.float32))
     refined: bool = False
-
-    def _gates(self, cells: np.ndarray) -> np.ndarray:
-        place = np.arange(cells.shape[1]) & 7
-        return (place * 4 + _CONFIDENCE[cells[3]]) * 4 + _CONFIDENCE[cells[4]]
-
-    def _mixed(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        inputs = _STRETCH[cells]
-        gates = self._gates(cells)
-        w = self.weights[gates]
-        x = w[:, N_CTX].copy()
-        for i in range(N_CTX):
-            x += w[:, i] * inputs[i]
+    known: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": None}
+
+    def _mixed(self, inputs: np.ndarray, fourth: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The summed predictions and the gates, from the inputs and how much the two longest contexts have seen."""
+        gates = _PLACES << 4 | (fourth << 2 | prefix)
+        x = _take(self.weights[N_CTX], gates)
+        for w, given in zip(self.weights, inputs):
+            x += _take(w, gates) * given
+        return x, gates
+
+    def _predicted(self, slots: np.ndarray) -> np.ndarray:
+        if self.known is None:
+            self.known = _STRETCH[self.cells], _CONFIDENCE[self.cells]
+        stretch, confidence = self.known
+        return self._mixed(_take(stretch, slots), _take(confidence, slots[3]), _take(confidence, slots[4]))[0]
+
+    def _as_unseen(self, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions, inputs and gates without one occurrence of what is predicted."""
+        cells = _take(_WITHOUT, _take(self.cells, slots) + (bit.astype(np.uint16) << 12))
+        inputs = _take(_STRETCH, cells)
+        x, gates = self._mixed(inputs, _take(_CONFIDENCE, cells[3]), _take(_CONFIDENCE, cells[4]))
         return x, inputs, gates
 
     @staticmethod
     def _bucket(x: np.ndarray) -> np.ndarray:
-        return np.clip(np.round(x * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int32)
+        """Place of the bit in its byte and of the prediction on a scale, as one number."""
+        return _PLACES * BUCKETS + np.clip(np.round(x * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int32)
 
-    def log10(self, words: list[bytes], classes: np.ndarray, step: int = 10_000) -> np.ndarray:
+    def log10(self, words: list[bytes], classes: np.ndarray, step: int = 4_000) -> np.ndarray:
         """log10 of the probability of each word with its space (of END: alone) in its class."""
         out = np.zeros(len(words))
         for lo in range(0, len(words), step):
             part = words[lo : lo + step]
-            word, slots, bit = words_bits(part, classes[lo : lo + step])
-            x = self._mixed(self.cells[slots])[0]
+            starts, slots, bits = words_bits(part, classes[lo : lo + step])
+            x = self._predicted(slots)
             if self.refined:
-                x = x + self.refine[np.arange(len(x)) & 7, self._bucket(x)]
-            x = np.clip(x, -16, 16)
-            nats = np.log1p(np.exp(np.where(bit == 1, -x, x)))
-            out[lo : lo + step] = -np.bincount(word, nats, len(part)) / np.log(10)
+                x += _take(self.refine, self._bucket(x))
+            # the prediction is rounded before it is used, so both bits' probabilities still make one
+            x = np.clip(np.round(x * _FINE), -16 * _FINE, 16 * _FINE).astype(np.int32)
+            nats = _take(_NATS, np.where(bits, x, -x) + 16 * _FINE).sum(axis=0, dtype=np.float64)
+            out[lo : lo + step] = -np.add.reduceat(nats, starts) / np.log(10)
         return out
 
     def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, rate: float = 0.05, step: int = 512) -> float:
         """One online pass over distinct words and their counts, in steps scaled by the inputs' squares; returns the
         counts' sum."""
         for lo in range(0, len(words), step):
-            word, slots, bit = words_bits(words[lo : lo + step], classes[lo : lo + step])
-            x, inputs, gates = self._mixed(self._without(self.cells[slots], bit))
-            n = counts[lo : lo + step].astype(np.float32)[word]
-            error = (bit - 1 / (1 + np.exp(-np.clip(x, -20, 20)))) * n
+            starts, slots, bits = words_bits(words[lo : lo + step], classes[lo : lo + step])
+            x, inputs, gates = self._as_unseen(slots, bits)
+            n = _each_byte(counts[lo : lo + step].astype(np.float32), starts, bits)
+            error = (bits - 1 / (1 + np.exp(-np.clip(x, -20, 20)))) * n
+            gates = gates.reshape(-1)
             for i in range(N_CTX + 1):
                 given = inputs[i] if i < N_CTX else np.ones_like(error)
-                gradient, scale = np.bincount(gates, error * given, GATES), np.bincount(gates, n * given * given, GATES)
-                self.weights[:, i] += (rate * gradient / (scale / 10 + 50)).astype(np.float32)
+                gradient, scale = np.bincount(gates, (error * given).reshape(-1), GATES), np.bincount(gates, (n * given * given).reshape(-1), GATES)
+                self.weights[i] += (rate * gradient / (scale / 10 + 50)).astype(np.float32)
         return float(counts.sum())
 
-    @staticmethod
-    def _without(cells: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """The cells as if one occurrence of the coded bit had not been seen; exact levels only."""
-        ones, zeros = cells & 63, cells >> 6
-        ones = np.where((bit == 1) & (ones > 0) & (ones <= _EXACT), ones - 1, ones)
-        zeros = np.where((bit == 0) & (zeros > 0) & (zeros <= _EXACT), zeros - 1, zeros)
-        return zeros << 6 | ones
-
-    def residuals(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, step: int = 10_000) -> np.ndarray:
+    def residuals(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, step: int = 4_000) -> np.ndarray:
         """For each bit place and bucket: weight, ones, and the sum of the predictions."""
         out = np.zeros((3, 8 * BUCKETS))
         for lo in range(0, len(words), step):
-            word, slots, bit = words_bits(words[lo : lo + step], classes[lo : lo + step])
-            x = self._mixed(self._without(self.cells[slots], bit))[0]
-            at = (np.arange(len(x)) & 7) * BUCKETS + self._bucket(x)
-            n = counts[lo : lo + step].astype(np.float64)[word]
-            for row, v in zip(out, (n, n * bit, n / (1 + np.exp(-np.clip(x, -20, 20))))):
-                row += np.bincount(at, v, 8 * BUCKETS)
+            starts, slots, bits = words_bits(words[lo : lo + step], classes[lo : lo + step])
+            x = self._as_unseen(slots, bits)[0]
+            at = self._bucket(x).reshape(-1)
+            n = _each_byte(counts[lo : lo + step].astype(np.float64), starts, bits)
+            for row, v in zip(out, (n + 0 * x, n * bits, n / (1 + np.exp(-np.clip(x, -20, 20))))):
+                row += np.bincount(at, v.reshape(-1), 8 * BUCKETS)
         return out
 
 
+def _each_byte(values: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A word's value at each of its bytes."""
+    return np.repeat(values, np.diff(starts, append=bits.shape[1]))
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """(class, word, n) over rows (class, text); the end of each text is the word END."""
 
     def run(batches):
         for batch in batches:
-            seen: dict[int, dict[bytes, int]] = {}
+            seen: dict[int, Counter[bytes]] = {}
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = seen.setdefault(k, {})
-                for w in space_words(t or b""):
-                    own[w] = own.get(w, 0) + 1
-                own[END] = own.get(END, 0) + 1
+                own = seen.setdefault(k, Counter())
+                own.update(space_words(t or b""))
+                own[END] += 1
             for k, own in seen.items():
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["class", "word", "n"])
 
-    counted = mapped(training.select("class", F.col("text").cast("binary")), run, "class int, word binary, n long", rows=8000)
+    counted = mapped(training.select("class", F.col("text").cast("binary")), run, "class int, word binary, n long", rows=4000)
     return counted.groupBy("class", "word").agg(F.sum("n").alias("n"))
 
 
-def _batched(batches, size: int = 50_000):
+def _batched(batches, size: int = 20_000):
     """(words, classes, counts) in groups of about ``size``."""
     words, classes, counts = [], [], []
     for batch in batches:
@@ -214,11 +246,11 @@ def slot_counts(words: DataFrame) -> DataFrame:
         for group, classes, n in _batched(batches):
             if table is None:
                 table = np.zeros(2 * int(OFFSETS[-1]), np.uint32)
-            for lo in range(0, len(group), 10_000):
-                word, slots, bit = words_bits(group[lo : lo + 10_000], classes[lo : lo + 10_000])
-                weight = n[lo : lo + 10_000].astype(np.uint32)[word]
+            for lo in range(0, len(group), 4_000):
+                starts, slots, bits = words_bits(group[lo : lo + 4_000], classes[lo : lo + 4_000])
+                weight = np.broadcast_to(_each_byte(n[lo : lo + 4_000].astype(np.uint32), starts, bits), bits.shape)
                 for row in slots:
-                    np.add.at(table, row * 2 + bit, weight)
+                    np.add.at(table, row * 2 + bits, weight)
         if table is not None:
             for c in range(0, len(table) // 2, CHUNK):
                 part = table[2 * c : 2 * (c + CHUNK)]
@@ -257,31 +289,41 @@ def fit(words: DataFrame) -> MixingModel:
                 own = MixingModel(shared.value.cells, shared.value.weights.copy())
             seen += own.learn(group, classes, n)
         if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([own.weights.astype("<f4").tobytes()], pa.binary())], ["seen", "weights"])
-
-    total, mean = 0.0, np.zeros((GATES, N_CTX + 1))
-    for row in mapped(words, learn, "seen double, weights binary", rows=10_000).toLocalIterator():
-        mean += row["seen"] * np.frombuffer(row["weights"], "<f4").reshape(GATES, N_CTX + 1)
-        total += row["seen"]
-    if total:
-        model.weights = (mean / total).astype(np.float32)
+            yield _numbers(seen, own.weights.reshape(-1) * seen)
+
+    got = _summed(words, learn)
+    if got is not None:
+        model.weights = (got[1:] / got[0]).reshape(N_CTX + 1, GATES).astype(np.float32)
     weights = context.broadcast(model.weights)
 
     def residuals(batches):
         own = MixingModel(shared.value.cells, weights.value)
-        sums = sum((own.residuals(*group) for group in _batched(batches)), np.zeros((3, 8 * BUCKETS)))
-        yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["sums"])
+        for group in _batched(batches):
+            yield _numbers(0.0, own.residuals(*group).reshape(-1))
 
-    sums = np.zeros((3, 8 * BUCKETS))
-    for row in mapped(words, residuals, "sums binary", rows=10_000).toLocalIterator():
-        sums += np.frombuffer(row["sums"], "<f8").reshape(3, -1)
-    n, ones, predicted = sums
+    got = _summed(words, residuals)
+    n, ones, predicted = (got[1:] if got is not None else np.zeros(24 * BUCKETS)).reshape(3, -1)
     fit_to, fit_from = (ones + 0.5) / (n + 1), (predicted + 0.5) / (n + 1)
-    model.refine = (np.log(fit_to / (1 - fit_to)) - np.log(fit_from / (1 - fit_from))).reshape(8, BUCKETS).astype(np.float32)
+    model.refine = (np.log(fit_to / (1 - fit_to)) - np.log(fit_from / (1 - fit_from))).astype(np.float32)
     model.refined = True
     return model
 
 
+def _numbers(first: float, rest: np.ndarray) -> pa.RecordBatch:
+    values = np.append(first, rest)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float64())], ["i", "v"])
+
+
+def _summed(words: DataFrame, function) -> np.ndarray | None:
+    """The sums over all partitions of the equally many numbers that each gives."""
+    rows = mapped(words, function, "i int, v double", rows=10_000).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    if not rows.num_rows:
+        return None
+    out = np.zeros(rows.num_rows)
+    out[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
+    return out
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out_mod: int = 5, head_words: int = HEAD_WORDS) -> DataFrame:
     """The id, held_out, n_tokens, n_known, train_tokens, base_score, score, and bits_per_byte of the coded text.
 
@@ -321,27 +363,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
         get, end = place.get, place.get(END)
         end_base = float(base_logs[end]) if end is not None else float(np.log10(0.5))
         for batch in batches:
-            split = [space_words(t) for t in batch.column(3).to_pylist()]
-            ids = [np.fromiter((get(w, -1) for w in s), np.int64, len(s)) for s in split]
-            tails = [[s[i] for i in np.flatnonzero(x < 0).tolist()] for s, x in zip(split, ids)]
-            best, own = [], []
-            for x in ids:
+            best, tails, columns = [], [], [[], [], [], [], []]
+            for text in batch.column(3).to_pylist():
+                words = space_words(text)
+                x = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
                 by_class = start + logs[:, x].sum(axis=1, dtype=np.float64)
                 best.append(int(by_class.argmax()))
-                own.append(float(by_class[best[-1]]))
+                tails.append(Counter(words[i] for i in np.flatnonzero(x < 0).tolist()))
+                frequent = len(words) - tails[-1].total()
+                for c, v in zip(columns, (len(words) + 1, frequent + seen_end, float(base_logs[x].sum()) + end_base, float(by_class[best[-1]]), sum(map(len, words)) + len(words) + 1)):
+                    c.append(v)
             rare = list({(k, w) for k, t in zip(best, tails) for w in t})
             costs = dict(zip(rare, model.log10([w for _, w in rare], used[[k for k, _ in rare]] if rare else used[:0]).tolist()))
-            columns = [
-                [len(s) + 1 for s in split], [int((x >= 0).sum()) + seen_end for x in ids], [float(base_logs[x].sum()) + end_base for x in ids],
-                [o + sum(costs[k, w] for w in t) for o, k, t in zip(own, best, tails)], [sum(map(len, s)) + len(s) + 1 for s in split],
-            ]
+            columns[3] = [o + sum(n * costs[k, w] for w, n in t.items()) for o, k, t in zip(columns[3], best, tails)]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(tails, pa.list_(pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([list(t.items()) for t in tails], pa.map_(pa.binary(), pa.int64()))], names)
 
     kind = rows.schema["id"].dataType.simpleString()
     source = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), F.col("text").cast("binary"))
-    scored = written(mapped(source, run, f"row long, id {kind}, held_out boolean, n_tokens long, head_tokens long, head_base double, score double, coded_bytes long, tail array<binary>", rows=8000), "scored")
-    rare = scored.select("row", F.explode("tail").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("k"))
+    scored = written(mapped(source, run, f"row long, id {kind}, held_out boolean, n_tokens long, head_tokens long, head_base double, score double, coded_bytes long, tail map<binary,bigint>", rows=2000), "scored")
+    rare = scored.select("row", F.explode("tail").alias("word", "k"))
     counted = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("tail_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("k"))).alias("tail_known"))
     out = scored.drop("tail").join(counted, "row", "left")
     norm = float(np.log10(total + 0.5 * (distinct + 1)))

@@ -463,9 +463,9 @@ def test_mixing_is_a_probability():
     level = np.minimum(np.searchsorted(mixing.LEVEL_VALUES, counts, side="right") - 1, 63).astype(np.uint16)
     model = mixing.MixingModel(level[:, 0] << 6 | level[:, 1])
     single = [bytes([b]) for b in range(256) if b not in (0, 32)]
-    _, slots, bit = mixing.words_bits(single, np.zeros(len(single), int))
-    x = model._mixed(model.cells[slots])[0].reshape(-1, 2, 8)[:, 0]  # the first byte of each
-    first = np.exp(-np.log1p(np.exp(np.where(bit.reshape(-1, 2, 8)[:, 0] == 1, -x, x))).sum(axis=1))
+    starts, slots, bit = mixing.words_bits(single, np.zeros(len(single), int))
+    x = model._predicted(slots)[:, starts]  # the first byte of each
+    first = np.exp(-np.log1p(np.exp(np.where(bit[:, starts] == 1, -x, x))).sum(axis=0))
     assert first.sum() <= 1 + 1e-6 and first.sum() > 0.9
     other = model.log10(words, none + 1).sum()  # a class without counts
     assert model.log10(words, none).sum() > other
