@@ -6,6 +6,7 @@ so the classes of the contracts, which all are ASCII sets or their complements,
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,8 +75,22 @@ def rows_to_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 
 
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
+    """``df.mapInArrow`` in batches of ``rows``; a worker gives its memory back when a task is done, as it may idle then
+    beside others."""
     small_batches(df.sparkSession, rows)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

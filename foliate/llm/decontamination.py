@@ -155,10 +155,10 @@ class Segment:
 MATCHES = "row long, n_words long, first array<long>, last array<long>, items array<string>"
 
 
-def matches(segments: DataFrame, phrases) -> DataFrame:
-    """For every indexed row its number of words, the merged ranges of hit words and the items with a window in it."""
-    names = [x.split()[0] for x in MATCHES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
+def matches(segments: DataFrame, phrases, counted: bool = False) -> DataFrame:
+    """For every indexed row its number of words, the merged ranges of hit words and the items with a window in it; or,
+    if these phrases are all there are (``counted``), the numbers made of them."""
+    names, kinds = [x.split()[0] for x in MATCHES.split(", ")], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
 
     def run(batches):
         test = phrases.value
@@ -180,36 +180,42 @@ def matches(segments: DataFrame, phrases) -> DataFrame:
                     else:
                         first[d].append(a)
                         last[d].append(b)
-                cols = [s.docs, s.lengths, first, last, [sorted(x) for x in items]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+                if counted:
+                    yield _counted([s.docs, s.lengths], ([x] for x in first), ([x] for x in last), ([x] for x in items))
+                else:
+                    cols = [s.docs, s.lengths, first, last, [sorted(x) for x in items]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    return mapped(segments, run, RESULT if counted else MATCHES)
+
 
-    return mapped(segments, run, MATCHES)
+def _counted(keep: list, firsts, lasts, items) -> pa.RecordBatch:
+    """Hit words and items of rows from the results of all blocks (lists of lists)."""
+    hit, count, digest = [], [], []
+    for a, b, found in zip(firsts, lasts, items):
+        total, end = 0, 0
+        for lo, hi in sorted((lo, hi) for x, y in zip(a, b) for lo, hi in zip(x, y)):
+            total += max(0, hi - max(lo, end))
+            end = max(end, hi)
+        ids = sorted({i for x in found for i in x})
+        hit.append(total)
+        count.append(len(ids))
+        digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keep), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest)], ["row", *COUNTS])
 
 
 def _summary(batches):
-    """Hit words and items of a row from the results of all blocks (arrays of arrays)."""
     for batch in batches:
-        firsts, lasts, items = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("first", "last", "items"))
-        hit, count, digest = [], [], []
-        for a, b, found in zip(firsts, lasts, items):
-            total, end = 0, 0
-            for lo, hi in sorted((lo, hi) for x, y in zip(a, b) for lo, hi in zip(x, y)):
-                total += max(0, hi - max(lo, end))
-                end = max(end, hi)
-            ids = sorted({i for x in found for i in x})
-            hit.append(total)
-            count.append(len(ids))
-            digest.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        keep = [batch.column(batch.schema.get_field_index(n)) for n in ("row", "n_words")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest)], ["row", "n_words", "n_hit", "n_items", "items_sha256"])
+        columns = dict(zip(batch.schema.names, batch.columns))
+        yield _counted([columns["row"], columns["n_words"]], *(columns[n].to_pylist() for n in ("first", "last", "items")))
 
 
 RESULT = "row long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
-def _found(rows: DataFrame, test: Phrases) -> DataFrame:
+def _found(rows: DataFrame, test: Phrases, counted: bool = False) -> DataFrame:
     context = rows.sparkSession.sparkContext
-    return matches(written(index(rows, context.broadcast(test.vocabulary)), "postings"), context.broadcast(test))
+    return matches(written(index(rows, context.broadcast(test.vocabulary)), "postings"), context.broadcast(test), counted)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -223,9 +229,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     second = next(tests, None)
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
     if second is None:
-        one = _found(rows.withColumn("row", F.coalesce("row", F.lit(NULL_ID))), phrases_of(first))
-        found = one.select("row", "n_words", *(F.array(c).alias(c) for c in ("first", "last", "items")))
-        return mapped(found, _summary, RESULT).select(F.when(F.col("row") != NULL_ID, F.col("row")).alias(id_col), *COUNTS)
+        found = _found(rows.withColumn("row", F.coalesce("row", F.lit(NULL_ID))), phrases_of(first), counted=True)
+        return found.select(F.when(F.col("row") != NULL_ID, F.col("row")).alias(id_col), *COUNTS)
     rows = written(rows.select(F.monotonically_increasing_id().alias("row"), F.col("row").alias("_id"), "text"), "numbered")
     found = _found(rows, phrases_of(first)).unionByName(_found(rows, phrases_of(second)))
     for block in tests:

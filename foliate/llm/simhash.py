@@ -170,8 +170,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataF
     places = F.when(F.col("g") == 1, F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("home")))).otherwise(F.when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member))
     rows = rows.select("anchor", "fp", F.explode(places).alias("p")).select("anchor", F.col("p.tile").alias("tile"), "fp", F.col("p.home").alias("home"))
     rows = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
-    found = rows.mapInArrow(_compare(threshold), "u long, v long")
+    found = mapped(rows, _compare(threshold), "u long, v long", rows=50_000)
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 

@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_WORDS = 600_000
+_WORDS = 250_000
 #: Bytes of text that are encoded at once.
-_BYTES = 32 << 20
+_BYTES = 12 << 20
 _MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
