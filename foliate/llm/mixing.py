@@ -248,9 +248,9 @@ def slot_counts(words: DataFrame) -> DataFrame:
                 table = np.zeros(2 * int(OFFSETS[-1]), np.uint32)
             for lo in range(0, len(group), 4_000):
                 starts, slots, bits = words_bits(group[lo : lo + 4_000], classes[lo : lo + 4_000])
-                weight = np.broadcast_to(_each_byte(n[lo : lo + 4_000].astype(np.uint32), starts, bits), bits.shape)
-                for row in slots:
-                    np.add.at(table, row * 2 + bits, weight)
+                weight = np.tile(_each_byte(n[lo : lo + 4_000].astype(np.uint32), starts, bits), 8)
+                for row in slots:  # flat arrays of these types take the fast path of add.at
+                    np.add.at(table, (row * 2 + bits).reshape(-1).astype(np.intp), weight)
         if table is not None:
             for c in range(0, len(table) // 2, CHUNK):
                 part = table[2 * c : 2 * (c + CHUNK)]
