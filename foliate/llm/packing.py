@@ -128,7 +128,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
         if packer.open:
             yield out(packer.finish())
 
-    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, {SCHEMA}", rows=4000)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, {SCHEMA}", rows=2500)
 
 
 def packing_query(docs: DataFrame) -> DataFrame:

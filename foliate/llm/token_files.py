@@ -115,7 +115,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     names = ["shard", "ordinal", "doc_id", "byte_offset", "byte_length", "n_tokens"]
     schema = ", ".join(f"{n} long" for n in names)
-    mapped(rows, run, schema, rows=4000).write.parquet(f"{path}/index")
+    mapped(rows, run, schema, rows=2500).write.parquet(f"{path}/index")
     return spark.read.schema(schema).parquet(f"{path}/index")
 
 

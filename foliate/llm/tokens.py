@@ -19,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_WORDS = 250_000
+_WORDS = 200_000
 #: Bytes of text that are encoded at once.
-_BYTES = 12 << 20
+_BYTES = 8 << 20
 _MARKS = ".,;:!?"
 _encoders: dict[str, Encoder] = {}
 
@@ -91,7 +91,6 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null has none."""
         out: list[bytes] = []
-        texts = texts.cast(pa.large_string())
         sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         lo = 0
         while lo < len(texts):
@@ -118,8 +117,8 @@ class Encoder:
             else:
                 found.append(self.piece(piece))
         which = coded.indices.to_numpy()
-        ids = pa.array(found, pa.large_binary()).take(coded.indices)
-        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        ids = pa.array(found, pa.binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
         data = memoryview(ids.buffers()[2] or b"")
         slow = set()
         if odd:  # a space before white space: its text is encoded whole; at a text's start there is no space
