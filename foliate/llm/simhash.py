@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.base import mapped, space_words, written
@@ -58,31 +58,40 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", shing
     return mapped(docs.select(*names), run, f"{fields}`{out}` long")
 
 
-def _anchors(half: Column, which: int) -> tuple[Column, Column]:
-    """The home anchor of a half and all anchors within 2, as longs that carry the half's number."""
-    syndrome = F.lit(0).cast("long")
-    for b in range(5):
-        mask = sum(1 << (i - 1) for i in range(1, 32) if i >> b & 1)
-        syndrome = syndrome + F.shiftleft(F.bit_count(half.bitwiseAND(F.lit(mask))).cast("long").bitwiseAND(F.lit(1)), b)
-    one = F.lit(1).cast("long")
-    flip = lambda i: F.when(i > 0, F.call_function("shiftleft", one, (i - 1).cast("int"))).otherwise(F.lit(0).cast("long"))
-    tag = F.lit(which << 33)
-    home = half.bitwiseXOR(flip(syndrome)).bitwiseOR(tag)
-    top = F.lit(1 << 31)
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(1).cast("long"), F.lit(31).cast("long")), lambda i: (syndrome > 0) & (i.bitwiseXOR(syndrome) > i)),
-        lambda i: half.bitwiseXOR(flip(i)).bitwiseXOR(flip(i.bitwiseXOR(syndrome))).bitwiseOR(tag),
-    )
-    return home, F.concat(F.array(home, home.bitwiseXOR(top)), pairs)
+#: Of the Hamming code, position i (1 to 31) has the check value i: for each value, the pairs of positions that make it.
+_CHECKS = np.array([sum(1 << (i - 1) for i in range(1, 32) if i >> b & 1) for b in range(5)], np.uint64)
+_PAIRS = np.array([[0] * 15] + [[1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i ^ s > i] for s in range(1, 32)], np.uint64)
+_SINGLE = np.array([0] + [1 << (i - 1) for i in range(1, 32)], np.uint64)
+_TOP = np.uint64(1 << 31)
+
+
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, place in ``fps``, home) of all anchors within 2 of either half; an anchor carries its half's number."""
+    out = []
+    every = np.arange(len(fps))
+    for which in range(2):
+        half = fps >> np.uint64(32 * which) & np.uint64(0xFFFFFFFF)
+        value = sum(((np.bitwise_count(half & c) & 1) << b for b, c in enumerate(_CHECKS)), np.zeros(len(fps), np.int64))
+        home = half ^ _SINGLE[value]
+        off = np.flatnonzero(value)  # a word of the code has no other within 2 but by its highest bit
+        tag = np.uint64(which << 33)
+        out.append((home | tag, every, np.ones(len(fps), bool)))
+        out.append((home ^ _TOP | tag, every, np.zeros(len(fps), bool)))
+        out.append(((half[off, None] ^ _PAIRS[value[off]]).reshape(-1) | tag, np.repeat(off, 15), np.zeros(15 * len(off), bool)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def anchored(fps: DataFrame) -> DataFrame:
     """(anchor, fp, home) for the distinct fingerprints in column ``fp``."""
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    halves = [_anchors(h, i) for i, h in enumerate((low, high))]
-    homes = F.array(*(h for h, _ in halves))
-    rows = fps.select("fp", homes.alias("homes"), F.concat(*(a for _, a in halves)).alias("anchors"))
-    return rows.select(F.explode("anchors").alias("anchor"), "fp", "homes").select("anchor", "fp", F.array_contains("homes", F.col("anchor")).alias("home"))
+
+    def run(batches):
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            anchor, at, home = anchors(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[at]), pa.array(home)], ["anchor", "fp", "home"])
+
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mapped(fps.select("fp").repartition(parts, "fp"), run, "anchor long, fp long, home boolean", rows=20_000)
 
 
 def _forest(homes: np.ndarray, all_: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:

@@ -417,6 +417,24 @@ def test_simhash_links_are_whole(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_anchors_cover():
+    """Whatever is within one bit of a half has its home among the half's anchors; 34 anchors at most."""
+    rng = np.random.default_rng(7)
+    fps = rng.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 200).astype(np.uint64)
+    near = (fps[:, None] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))).reshape(-1)
+    anchor, at, home = simhash.anchors(fps)
+    assert np.bincount(at).max() <= 34 and (np.bincount(at[home]) == 2).all()
+    mine = defaultdict(set)
+    for a, i in zip(anchor.tolist(), at.tolist()):
+        mine[i].add(a)
+    anchor, at, home = simhash.anchors(near)
+    homes = defaultdict(set)
+    for a, i in zip(anchor[home].tolist(), at[home].tolist()):
+        homes[i].add(a)
+    assert all(homes[k] <= mine[k // 64] for k in homes)  # the other half is the same, so its home is there too
+    assert len(homes) == 200 * 64
+
+
 def test_simhash_empty_and_kept(spark, odd):
     assert simhash.simhash_query(empty(spark)).count() == 0
     kept = simhash.one_of_each(odd)
