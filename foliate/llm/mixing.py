@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from foliate.llm.base import mapped, remainder, space_words, written
 
 END = b"\0"
-HEAD_WORDS = 1 << 16
+HEAD_WORDS = 1 << 17
 #: Slots of each context: last byte, two, three, four bytes, whole word so far.
 SLOTS = (1 << 18, 1 << 19, 1 << 20, 1 << 20, 1 << 22)
 #: Classes beside the one of all other rows.
