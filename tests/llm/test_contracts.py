@@ -541,8 +541,8 @@ def test_risk_control():
 
 def test_quality_false_rejections(spark, docs, data):
     labels = table(spark, data, "labels")
-    copies = docs.crossJoin(spark.range(20)).select((F.col("doc_id") + 100_000 * F.col("id")).alias("doc_id"), "text", "lang")
-    many = labels.crossJoin(spark.range(20)).select((F.col("doc_id") + 100_000 * F.col("id")).alias("doc_id"), "quality")
+    ids = F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.col("doc_id") + 100_000 * i)).alias("doc_id")
+    copies, many = docs.select(ids, "text", "lang"), labels.select(ids, "quality")
     out = quality.quality_query(copies, many).join(many, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     rate = dict(map(tuple, out))
     assert rate[1] >= 0.98 and rate[0] < rate[1]
