@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.text import let
+from foliate.operators.structure import each
+
 CONTAINS, HAS_SUBSECTION, HAS_NESTED_SECTION, LINKS_TO = "CONTAINS", "HAS_SUBSECTION", "HAS_NESTED_SECTION", "LINKS_TO"
 #: Names that edges may bear but no operator here makes.
 FOLLOWS, PRECEDES, PARENT_OF, SIBLING = "FOLLOWS", "PRECEDES", "PARENT_OF", "SIBLING"
@@ -41,7 +44,8 @@ def closure_by_stack(chunks_of_documents: DataFrame) -> DataFrame:
         step = lambda a, _: F.when(a["next"].isNull(), a).otherwise(F.struct(parent(a["next"]).alias("next"), F.concat(a["out"], F.array(a["next"])).alias("out")).cast("struct<next:bigint,out:array<bigint>>"))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(s["level"], F.lit(1))), start, step, lambda a: a["out"])
 
-    rows = chunks_of_documents.select("source_id", F.explode(F.transform("sections", lambda s: F.struct(s["seq"].alias("seq"), above(F.col("sections"), s).alias("up")))).alias("x"))
+    made = let(F.col("sections"), lambda all_: F.transform(all_, lambda s: F.struct(s["seq"].alias("seq"), above(all_, s).alias("up"))))
+    rows = each(chunks_of_documents.select("source_id", made.alias("x")), "x")
     rows = rows.select("source_id", F.col("x.seq").alias("seq"), F.posexplode("x.up").alias("d", "up"))
     name = lambda c: F.concat_ws("#", "source_id", F.col(c).cast("string"))
     return rows.select("source_id", name("seq").alias("chunk_id"), name("up").alias("ancestor_id"), (F.col("d") + 1).alias("depth"))

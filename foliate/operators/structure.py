@@ -64,13 +64,17 @@ def _heads(parts: Column, rules: Sequence[Rule]) -> Column:
         opened = F.struct(m["level"].alias("level"), seq.alias("seq"), m["clean_title"].alias("title")).cast(_OPEN)
         found = F.struct(after.alias("at"), F.concat(stack, F.array(opened)).alias("stack"), path.alias("path"), F.concat(s["out"], F.array(head)).alias("out"))
         plain = F.struct(after.alias("at"), s["stack"].alias("stack"), s["path"].alias("path"), s["out"].alias("out"))
-        return F.when(m.isNull(), plain.cast(state)).otherwise(found.cast(state))
+        return F.when(m.isNull(), plain).otherwise(found)  # a cast would copy the arrays at every line
 
     return F.aggregate(matched, start.cast(state), step, lambda s: s["out"])
 
 
 def section_array(text: Column, rules: Sequence[Rule] = DEFAULT_RULES, preserve_markdown: bool = False) -> Column:
     """The sections of a text as an array; text before the first heading belongs to none."""
+    return let(text, lambda t: _section_array(t, rules, preserve_markdown))  # else a computed text is computed each time
+
+
+def _section_array(text: Column, rules: Sequence[Rule], preserve_markdown: bool) -> Column:
     parts = F.split(text, BREAK, -1)
     heads = _heads(parts, rules)
 
@@ -97,7 +101,14 @@ def section_array(text: Column, rules: Sequence[Rule] = DEFAULT_RULES, preserve_
 def sections(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, id_col: str = "source_id", text_col: str = "text", preserve_markdown: bool = False) -> DataFrame:
     """One row for each heading, with ids made of the document's id and the heading's number."""
     rows = docs.select(F.col(id_col).cast("string").alias("source_id"), section_array(F.col(text_col), rules, preserve_markdown).alias("s"))
-    return with_ids(rows.select("source_id", F.explode("s").alias("s")).select("source_id", "s.*"))
+    return with_ids(each(rows, "s").select("source_id", "s.*"))
+
+
+def each(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each element of an array of structs, in place of the array. An outer explode, as a plain one would have
+    the optimizer test the array's size first, and compute a computed array once more for that."""
+    others = [c for c in rows.columns if c != column]
+    return rows.select(*others, F.explode_outer(column).alias(column)).where(F.col(column).isNotNull())
 
 
 def with_ids(rows: DataFrame) -> DataFrame:
@@ -149,4 +160,4 @@ def outline(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame
 
     line = lambda x, d: F.concat(F.repeat(F.lit("  "), d), F.lit("["), x["chunk_type"], F.lit("] "), x["clean_title"])
     made = let(rows["s"], lambda s: let(depths(s), lambda d: F.transform(s, lambda x, i: F.struct(x["seq"].alias("seq"), line(x, F.get(d, i)).alias("line")))))
-    return rows.select("source_id", F.explode(made).alias("x")).select("source_id", "x.*")
+    return each(rows.select("source_id", made.alias("x")), "x").select("source_id", "x.*")

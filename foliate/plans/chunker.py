@@ -14,7 +14,7 @@ from foliate.operators import graph
 from foliate.operators.keywords import EXTRACTORS, combined, inherited_from_parents
 from foliate.operators.markdown import blocks
 from foliate.operators.sizing import overlapped, split_sections
-from foliate.operators.structure import section_array, with_ids
+from foliate.operators.structure import each, section_array, with_ids
 from foliate.plans.config import ChunkerConfig
 from foliate.sources.documents import checked, from_table
 
@@ -91,7 +91,7 @@ class Chunker:
             return DocumentGraph(self._with_keywords(self.strategy(docs)))
         if self.structure_first:
             return DocumentGraph(self._with_keywords(el.block_chunks(blocks(docs))))
-        rows = self.sections(docs).select("source_id", F.explode("sections").alias("s")).select("source_id", "s.*")
+        rows = each(self.sections(docs), "sections").select("source_id", "sections.*")
         return DocumentGraph(self._with_keywords(with_ids(rows)))
 
     def chunk(self, rows: DataFrame, text_col: str = "text", id_col: str | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from foliate.operators import elements as el
 from foliate.plans import oracles as o
 from foliate.plans.chunker import Chunker
 from foliate.plans.config import ChunkerConfig
-from foliate.sources.documents import as_json, overlaid, overlaid_markdown
+from foliate.sources.documents import as_json, overlaid, overlaid_markdown, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -45,7 +45,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaid(_table(spark, sf_dir, "documents"))
+    return overlaid(spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
 def _sections(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -61,7 +61,7 @@ def _chunk_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.blocks(overlaid_markdown(_table(spark, sf_dir, "documents")))
+    return markdown.blocks(overlaid_markdown(spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")))
 
 
 _ID = "source_id || '#' || seq"
@@ -242,7 +242,7 @@ def sentence_split(s, d):
 
 
 def _parts(s, d, pack, size):
-    rows = _sections(s, d).select("source_id", "seq", F.posexplode(pack(F.col("content"), size)).alias("i", "content"))
+    rows = _sections(s, d).select("source_id", "seq", F.posexplode_outer(pack(F.col("content"), size)).alias("i", "content")).where("i is not null")
     return rows.select("source_id", "seq", (F.col("i") + 1).cast("bigint").alias("part"), "content")
 
 
@@ -295,12 +295,12 @@ def parent_resolved(s, d):
 
 @query(o.BASE + o.tokens() + " select source_id, seq, word, count(*) as n from tokens group by all")
 def kw_tokens(s, d):
-    rows = _sections(s, d).select("source_id", "seq", F.explode(keywords.frequencies(tx.keyword_tokens(F.col("content")))).alias("x"))
+    rows = structure.each(_sections(s, d).select("source_id", "seq", keywords.frequencies(tx.keyword_tokens(F.col("content"))).alias("x")), "x")
     return rows.select("source_id", "seq", "x.word", "x.n")
 
 
 def _ranked(chunks: DataFrame) -> DataFrame:
-    rows = chunks.select("chunk_id", F.posexplode("keywords").alias("i", "keyword"))
+    rows = chunks.select("chunk_id", F.posexplode_outer("keywords").alias("i", "keyword")).where("i is not null")
     return rows.select("chunk_id", (F.col("i") + 1).cast("bigint").alias("rank"), "keyword")
 
 
@@ -553,7 +553,7 @@ def element_parent(s, d):
 select s.source_id, s.seq, case when t is null then content else t || ': ' || content end as enriched from sections s left join titles using (source_id, seq)""")
 def ctx_enrich(s, d):
     rows = _section_arrays(s, d)
-    chunks = rows.select("source_id", F.explode("sections").alias("x")).select("source_id", "x.seq", "x.content", "x.clean_title")
+    chunks = structure.each(rows, "sections").select("source_id", "sections.seq", "sections.content", "sections.clean_title")
     up = graph.closure_by_stack(rows).join(chunks.select(F.concat_ws("#", "source_id", F.col("seq").cast("string")).alias("ancestor_id"), "clean_title"), "ancestor_id")
     titles = up.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "clean_title")), asc=False), lambda t: t["clean_title"]).alias("titles"))
     full = chunks.withColumn("chunk_id", F.concat_ws("#", "source_id", F.col("seq").cast("string"))).join(titles, "chunk_id", "left")

@@ -20,6 +20,12 @@ def from_table(rows: DataFrame, id_col: str | Column | None, text_col: str = "te
     return rows.select(own.cast("string").alias("source_id"), F.col(text_col).alias("text"))
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over as many partitions as there are cores, if they come in fewer; larger tables are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def checked(docs: DataFrame, strict: bool = False) -> DataFrame:
     """Without blank documents and ids; with ``strict`` the first of them stops the query."""
     bad = is_blank(F.col("text")) | is_blank(F.col("source_id"))
