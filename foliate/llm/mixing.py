@@ -1,8 +1,8 @@
 """Language-model scoring by logistic context mixing over hashed contexts.
 
 A text is its words, A-Z folded, each followed by a space, then an end byte. Every bit of it is predicted by several
-contexts: the last one to four bytes and the whole word so far, each with the bits of the present byte. A
-hashed slot of each context holds how many zeros and ones followed it in the training texts. The slots' predictions, in
+contexts: the last one to four bytes, whatever words they belong to, the whole word so far, and this with the word
+before, each with the bits of the present byte. Contexts begin at the text's start. A hashed slot of each context holds how many zeros and ones followed it in the training texts. The slots' predictions, in
 the logistic domain, are summed under weights that a gate selects (the bit's place, and how much the two
 longest contexts have seen), and an adaptive map refines the result by its own record. The sum of -log2 p over all
 bits is an exact code length: total bits, and bits a byte.
@@ -11,14 +11,12 @@ All contexts carry the text's class, one of the most frequent values of a column
 text to score has no class: the frequent words choose the most probable one, and naming it is part of the code, so
 the result is the logarithm of a probability whatever the class.
 
-Training gathers the counts of all training words, distributed: words are counted, every distinct word adds its count
-to its slots, and weights are learned online over the words of each partition (a word's own count taken out of its
-slots, so that it is predicted as if unseen) and averaged by what each partition has seen. Contexts end at the word's
-start, so a word's code length depends on the word and class alone: it is computed once for each distinct word of a
-batch, and once for all for the most frequent words.
+Training reads all training texts in order, distributed: every byte adds to its slots, and weights are learned online
+over the texts of each partition (a bit's own occurrence taken out of its slots, so that it is predicted as if unseen)
+and averaged by what each partition has seen; the map's record is that of the averaged weights.
 
-The tables have a fixed number of slots and the frequent words a fixed bound; both are broadcast. The counts of all
-other words reach the documents by a join.
+The tables are broadcast. Frequent words, of a fixed bound, only choose the class. The base counts of all other words
+reach the documents by a join.
 """
 
 from __future__ import annotations
@@ -37,10 +35,12 @@ from foliate.llm.base import mapped, remainder, space_words, written
 
 END = b"\0"
 HEAD_WORDS = 1 << 17
-#: Slots of each context: last byte, two, three, four bytes, whole word so far.
-SLOTS = (1 << 18, 1 << 19, 1 << 20, 1 << 20, 1 << 22)
+#: Slots of each context: last byte, two, three, four bytes, whole word so far, this with the word before.
+SLOTS = (1 << 18, 1 << 19, 1 << 20, 1 << 20, 1 << 22, 1 << 22)
 #: Classes beside the one of all other rows.
 MAX_CLASSES = 15
+#: Contexts whose slots are counted in one pass, so that a worker holds few tables.
+PASSES = ((0, 1, 2, 3), (4,), (5,))
 OFFSETS = np.concatenate([[0], np.cumsum(SLOTS)])
 N_CTX = len(SLOTS)
 GATES = 8 * 4 * 4
@@ -74,9 +74,10 @@ def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(table, at, mode="clip")
 
 
-def words_bits(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_bits(words: list[bytes], classes: np.ndarray, first: np.ndarray | None = None, contexts: tuple[int, ...] = tuple(range(N_CTX))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, slots, bits) of all coded bytes of the words: starts are the words' first bytes, bits has a row for each
-    bit of a byte, and slots has such rows for each context.
+    bit of a byte, and slots has such rows for each of ``contexts``. ``first`` marks the words that open a text; without
+    it each is a text of its own.
 
     A context is hashed once for each half of a byte; the bits before a bit in its half flip the lowest bits of the
     slot, so a half's slots lie together and are used evenly.
@@ -89,69 +90,85 @@ def words_bits(words: list[bytes], classes: np.ndarray) -> tuple[np.ndarray, np.
     start = np.repeat(starts, sizes)
     place = np.arange(len(raw)) - start
     own = np.repeat(np.asarray(classes, np.uint64), sizes) << np.uint64(48)
-    back = []
-    for k in range(1, 5):
-        b = np.full(len(raw), 32, np.uint64)
-        b[k:] = raw[:-k]
-        b[place < k] = 32
-        back.append(b)
+    opens = np.ones(len(words), bool) if first is None else first
+    within = place if first is None else np.arange(len(raw)) - np.repeat(np.maximum.accumulate(np.where(opens, starts, 0)), sizes)
+    known: dict[int, np.ndarray] = {}
+    if min(contexts) < 4:
+        so_far = np.zeros(len(raw), np.uint64)
+        for k in range(1, 5):
+            b = np.full(len(raw), 32, np.uint64)
+            b[k:] = raw[:-k]
+            b[within < k] = 32
+            so_far = so_far | b << np.uint64(8 * (k - 1))
+            known[k - 1] = so_far | own
     mult, half = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-    o1 = back[0]
-    o2 = o1 | back[1] << np.uint64(8)
-    o3 = o2 | back[2] << np.uint64(16)
-    o4 = o3 | back[3] << np.uint64(24) | np.minimum(place, 4).astype(np.uint64) << np.uint64(32)
-    slots = np.empty((N_CTX, 8, len(raw)), np.int32)
-    # the word so far: a sum of powers, taken relative to the word's start
+    slots = np.empty((len(contexts), 8, len(raw)), np.int32)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(sizes.max()) if len(sizes) else 0, np.uint64(0x100000001B3)), dtype=np.uint64)
-        terms = (raw + np.uint64(1)) * power[place] if len(raw) else raw
-        run = np.cumsum(terms, dtype=np.uint64)
-        before = run - terms
-        prefix = before - before[start] if len(raw) else before
-        prefix = prefix * mult + place.astype(np.uint64)
+        if max(contexts) >= 4:
+            # the word so far: a sum of powers, taken relative to the word's start
+            power = np.cumprod(np.full(int(sizes.max()) if len(sizes) else 0, np.uint64(0x100000001B3)), dtype=np.uint64)
+            terms = (raw + np.uint64(1)) * power[place] if len(raw) else raw
+            run = np.cumsum(terms, dtype=np.uint64)
+            before = run - terms
+            prefix = before - before[start] if len(raw) else before
+            prefix = prefix * mult + place.astype(np.uint64)
+            known[4] = prefix ^ own * mult
+            ended = prefix[starts + sizes - 1] * half  # at a word's last byte: all of the word
+            previous = np.zeros(len(words), np.uint64)
+            previous[1:] = np.where(opens[1:], 0, (ended[:-1] ^ ended[:-1] >> np.uint64(31)) * mult)
+            known[5] = known[4] ^ np.repeat(previous, sizes)
         high, low = octets >> 4, octets & 15
         told = (high.astype(np.uint64) + np.uint64(1)) * half
         upper, lower = _NODES[:, high], _NODES[:, low]
-        for i, c in enumerate((o1, o2, o3, o4, prefix)):
-            h = ((c | own if i < 4 else c ^ own * mult) + np.uint64(i + 1)) * mult
+        for row, i in enumerate(contexts):
+            h = (known[i] + np.uint64(i + 1)) * mult
             h ^= h >> np.uint64(29)
             shift = np.uint64(64 - SLOTS[i].bit_length() + 1)
             for at, key, nodes in ((0, h * half, upper), (4, (h ^ told) * mult, lower)):
                 base = (key >> shift).astype(np.int32) + np.int32(OFFSETS[i])
-                np.bitwise_xor(base, nodes, out=slots[i, at : at + 4])
+                np.bitwise_xor(base, nodes, out=slots[row, at : at + 4])
     return starts, slots, (octets >> np.arange(7, -1, -1, dtype=np.uint8)[:, None]) & 1
 
 
+#: So many words hold the four bytes before a word, and the word before it.
+_LEAD = 2
+
+
+def _parts(words: list[bytes], classes: np.ndarray, first: np.ndarray | None, step: int, contexts: tuple[int, ...] = tuple(range(N_CTX))):
+    """(lo, hi, starts, slots, bits) of ``step`` words at a time, in the contexts of the whole."""
+    for lo in range(0, len(words), step):
+        hi, lead = min(lo + step, len(words)), min(lo, _LEAD) if first is not None else 0
+        starts, slots, bits = words_bits(words[lo - lead : hi], classes[lo - lead : hi], None if first is None else first[lo - lead : hi], contexts)
+        if lead:
+            cut = starts[lead]
+            starts, slots, bits = starts[lead:] - cut, slots[:, :, cut:], bits[:, cut:]
+        yield lo, hi, starts, slots, bits
+
+
 @dataclass
 class MixingModel:
     cells: np.ndarray  # one a slot
     weights: np.ndarray = field(default_factory=lambda: np.full((N_CTX + 1, GATES), 0.3, np.float32))
     refine: np.ndarray = field(default_factory=lambda: np.zeros(8 * BUCKETS, np.float32))
     refined: bool = False
-    known: tuple[np.ndarray, np.ndarray] | None = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"known": None}
-
-    def _mixed(self, inputs: np.ndarray, fourth: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _mixed(self, inputs: np.ndarray, prefix: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The summed predictions and the gates, from the inputs and how much the two longest contexts have seen."""
-        gates = _PLACES << 4 | (fourth << 2 | prefix)
+        gates = _PLACES << 4 | (prefix << 2 | pair)
         x = _take(self.weights[N_CTX], gates)
         for w, given in zip(self.weights, inputs):
             x += _take(w, gates) * given
         return x, gates
 
     def _predicted(self, slots: np.ndarray) -> np.ndarray:
-        if self.known is None:
-            self.known = _STRETCH[self.cells], _CONFIDENCE[self.cells]
-        stretch, confidence = self.known
-        return self._mixed(_take(stretch, slots), _take(confidence, slots[3]), _take(confidence, slots[4]))[0]
+        cells = _take(self.cells, slots)
+        return self._mixed(_take(_STRETCH, cells), _take(_CONFIDENCE, cells[4]), _take(_CONFIDENCE, cells[5]))[0]
 
     def _as_unseen(self, slots: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictions, inputs and gates without one occurrence of what is predicted."""
         cells = _take(_WITHOUT, _take(self.cells, slots) + (bit.astype(np.uint16) << 12))
         inputs = _take(_STRETCH, cells)
-        x, gates = self._mixed(inputs, _take(_CONFIDENCE, cells[3]), _take(_CONFIDENCE, cells[4]))
+        x, gates = self._mixed(inputs, _take(_CONFIDENCE, cells[4]), _take(_CONFIDENCE, cells[5]))
         return x, inputs, gates
 
     @staticmethod
@@ -159,28 +176,26 @@ class MixingModel:
         """Place of the bit in its byte and of the prediction on a scale, as one number."""
         return _PLACES * BUCKETS + np.clip(np.round(x * 2) + BUCKETS // 2, 0, BUCKETS - 1).astype(np.int32)
 
-    def log10(self, words: list[bytes], classes: np.ndarray, step: int = 4_000) -> np.ndarray:
-        """log10 of the probability of each word with its space (of END: alone) in its class."""
+    def log10(self, words: list[bytes], classes: np.ndarray, first: np.ndarray | None = None, step: int = 4_000) -> np.ndarray:
+        """log10 of the probability of each word with its space (of END: alone) in its class, behind the words before it
+        in its text."""
         out = np.zeros(len(words))
-        for lo in range(0, len(words), step):
-            part = words[lo : lo + step]
-            starts, slots, bits = words_bits(part, classes[lo : lo + step])
+        for lo, hi, starts, slots, bits in _parts(words, classes, first, step):
             x = self._predicted(slots)
             if self.refined:
                 x += _take(self.refine, self._bucket(x))
             # the prediction is rounded before it is used, so both bits' probabilities still make one
             x = np.clip(np.round(x * _FINE), -16 * _FINE, 16 * _FINE).astype(np.int32)
             nats = _take(_NATS, np.where(bits, x, -x) + 16 * _FINE).sum(axis=0, dtype=np.float64)
-            out[lo : lo + step] = -np.add.reduceat(nats, starts) / np.log(10)
+            out[lo:hi] = -np.add.reduceat(nats, starts) / np.log(10)
         return out
 
-    def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, rate: float = 0.05, step: int = 512) -> float:
-        """One online pass over distinct words and their counts, in steps scaled by the inputs' squares; returns the
-        counts' sum."""
-        for lo in range(0, len(words), step):
-            starts, slots, bits = words_bits(words[lo : lo + step], classes[lo : lo + step])
+    def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, rate: float = 0.05, step: int = 512) -> float:
+        """One online pass over words in order, each weighted by its count, in steps scaled by the inputs' squares;
+        returns the counts' sum."""
+        for lo, hi, starts, slots, bits in _parts(words, classes, first, step):
             x, inputs, gates = self._as_unseen(slots, bits)
-            n = _each_byte(counts[lo : lo + step].astype(np.float32), starts, bits)
+            n = _each_byte(counts[lo:hi].astype(np.float32), starts, bits)
             error = (bits - 1 / (1 + np.exp(-np.clip(x, -20, 20)))) * n
             gates = gates.reshape(-1)
             for i in range(N_CTX + 1):
@@ -189,14 +204,13 @@ class MixingModel:
                 self.weights[i] += (rate * gradient / (scale / 10 + 50)).astype(np.float32)
         return float(counts.sum())
 
-    def residuals(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, step: int = 4_000) -> np.ndarray:
+    def residuals(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, step: int = 4_000) -> np.ndarray:
         """For each bit place and bucket: weight, ones, and the sum of the predictions."""
         out = np.zeros((3, 8 * BUCKETS))
-        for lo in range(0, len(words), step):
-            starts, slots, bits = words_bits(words[lo : lo + step], classes[lo : lo + step])
+        for lo, hi, starts, slots, bits in _parts(words, classes, first, step):
             x = self._as_unseen(slots, bits)[0]
             at = self._bucket(x).reshape(-1)
-            n = _each_byte(counts[lo : lo + step].astype(np.float64), starts, bits)
+            n = _each_byte(counts[lo:hi].astype(np.float64), starts, bits)
             for row, v in zip(out, (n + 0 * x, n * bits, n / (1 + np.exp(-np.clip(x, -20, 20))))):
                 row += np.bincount(at, v.reshape(-1), 8 * BUCKETS)
         return out
@@ -208,54 +222,60 @@ def _each_byte(values: np.ndarray, starts: np.ndarray, bits: np.ndarray) -> np.n
 
 
 def word_counts(training: DataFrame) -> DataFrame:
-    """(class, word, n) over rows (class, text); the end of each text is the word END."""
+    """(word, n) over rows with a text; the end of each text is the word END."""
 
     def run(batches):
         for batch in batches:
-            seen: dict[int, Counter[bytes]] = {}
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = seen.setdefault(k, Counter())
+            own: Counter[bytes] = Counter()
+            for t in batch.column(0).to_pylist():
                 own.update(space_words(t or b""))
                 own[END] += 1
-            for k, own in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int32()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["class", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["word", "n"])
 
-    counted = mapped(training.select("class", F.col("text").cast("binary")), run, "class int, word binary, n long", rows=4000)
-    return counted.groupBy("class", "word").agg(F.sum("n").alias("n"))
+    return mapped(training.select(F.col("text").cast("binary")), run, "word binary, n long", rows=4000).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _batched(batches, size: int = 20_000):
-    """(words, classes, counts) in groups of about ``size``."""
-    words, classes, counts = [], [], []
+def _in_order(batches, size: int = 20_000):
+    """(words, classes, first) of whole texts in order, in groups of about ``size`` words, from rows (class, text)."""
+    words, classes, sizes = [], [], []
     for batch in batches:
-        words += batch.column(1).to_pylist()
-        classes.append(batch.column(0).to_numpy())
-        counts.append(batch.column(2).to_numpy())
-        if len(words) >= size:
-            yield words, np.concatenate(classes), np.concatenate(counts)
-            words, classes, counts = [], [], []
+        for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = space_words(t or b"")
+            words += own
+            words.append(END)
+            classes.append(k)
+            sizes.append(len(own) + 1)
+            if len(words) >= size:
+                yield words, np.repeat(classes, sizes), _opening(sizes)
+                words, classes, sizes = [], [], []
     if words:
-        yield words, np.concatenate(classes), np.concatenate(counts)
+        yield words, np.repeat(classes, sizes), _opening(sizes)
+
+
+def _opening(sizes: list[int]) -> np.ndarray:
+    first = np.zeros(sum(sizes), bool)
+    first[np.cumsum([0, *sizes[:-1]])] = True
+    return first
 
 
-def slot_counts(words: DataFrame) -> DataFrame:
-    """(chunk, cells): the cells of CHUNK consecutive slots, compressed, from the words of all partitions."""
+def slot_counts(training: DataFrame, contexts: tuple[int, ...]) -> DataFrame:
+    """(chunk, cells): the cells of CHUNK consecutive slots of these contexts, compressed, from the texts of all partitions."""
+    low, high = int(OFFSETS[contexts[0]]), int(OFFSETS[contexts[-1] + 1])
 
     def run(batches):
         table = None
-        for group, classes, n in _batched(batches):
+        for words, classes, first in _in_order(batches):
             if table is None:
-                table = np.zeros(2 * int(OFFSETS[-1]), np.uint32)
-            for lo in range(0, len(group), 4_000):
-                starts, slots, bits = words_bits(group[lo : lo + 4_000], classes[lo : lo + 4_000])
-                weight = np.tile(_each_byte(n[lo : lo + 4_000].astype(np.uint32), starts, bits), 8)
+                table = np.zeros(2 * (high - low), np.uint32)
+            for _, _, _, slots, bits in _parts(words, classes, first, 4_000, contexts):
+                once = np.ones(bits.size, np.uint32)
                 for row in slots:  # flat arrays of these types take the fast path of add.at
-                    np.add.at(table, (row * 2 + bits).reshape(-1).astype(np.intp), weight)
+                    np.add.at(table, ((row - low) * 2 + bits).reshape(-1).astype(np.intp), once)
         if table is not None:
             for c in range(0, len(table) // 2, CHUNK):
                 part = table[2 * c : 2 * (c + CHUNK)]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([(low + c) // CHUNK]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["chunk", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -268,40 +288,41 @@ def slot_counts(words: DataFrame) -> DataFrame:
             cells = (level[:, 0] << 6 | level[:, 1]).astype("<u2")
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], ["chunk", "cells"])
 
-    return mapped(words, run, "chunk long, counts binary", rows=10_000).repartition(F.col("chunk")).mapInArrow(add, "chunk long, cells binary")
+    return mapped(training, run, "chunk long, counts binary", rows=2000).repartition(F.col("chunk")).mapInArrow(add, "chunk long, cells binary")
 
 
-def fit(words: DataFrame) -> MixingModel:
-    """Tables, weights and refinement from the counts of all training words (a written table: it is read often)."""
-    context = words.sparkSession.sparkContext
+def fit(training: DataFrame) -> MixingModel:
+    """Tables, weights and refinement from all training texts: rows (class, binary text), read in each pass."""
+    context = training.sparkSession.sparkContext
     cells = np.zeros(int(OFFSETS[-1]), np.uint16)
-    for row in slot_counts(words).toArrow().to_pylist():
-        part = np.frombuffer(zlib.decompress(row["cells"]), "<u2")
-        cells[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
+    for contexts in PASSES:
+        for row in slot_counts(training, contexts).toArrow().to_pylist():
+            part = np.frombuffer(zlib.decompress(row["cells"]), "<u2")
+            cells[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     model = MixingModel(cells)
     shared = context.broadcast(model)
 
     def learn(batches):
         own = None
         seen = 0.0
-        for group, classes, n in _batched(batches):
+        for words, classes, first in _in_order(batches):
             if own is None:
                 own = MixingModel(shared.value.cells, shared.value.weights.copy())
-            seen += own.learn(group, classes, n)
+            seen += own.learn(words, classes, np.ones(len(words)), first, step=1_000)
         if own is not None:
             yield _numbers(seen, own.weights.reshape(-1) * seen)
 
-    got = _summed(words, learn)
+    got = _summed(training, learn)
     if got is not None:
         model.weights = (got[1:] / got[0]).reshape(N_CTX + 1, GATES).astype(np.float32)
     weights = context.broadcast(model.weights)
 
     def residuals(batches):
         own = MixingModel(shared.value.cells, weights.value)
-        for group in _batched(batches):
-            yield _numbers(0.0, own.residuals(*group).reshape(-1))
+        for words, classes, first in _in_order(batches):
+            yield _numbers(0.0, own.residuals(words, classes, np.ones(len(words)), first).reshape(-1))
 
-    got = _summed(words, residuals)
+    got = _summed(training, residuals)
     n, ones, predicted = (got[1:] if got is not None else np.zeros(24 * BUCKETS)).reshape(3, -1)
     fit_to, fit_from = (ones + 0.5) / (n + 1), (predicted + 0.5) / (n + 1)
     model.refine = (np.log(fit_to / (1 - fit_to)) - np.log(fit_from / (1 - fit_from))).astype(np.float32)
@@ -314,9 +335,9 @@ def _numbers(first: float, rest: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values, pa.float64())], ["i", "v"])
 
 
-def _summed(words: DataFrame, function) -> np.ndarray | None:
+def _summed(training: DataFrame, function) -> np.ndarray | None:
     """The sums over all partitions of the equally many numbers that each gives."""
-    rows = mapped(words, function, "i int, v double", rows=10_000).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    rows = mapped(training, function, "i int, v double", rows=2000).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     if not rows.num_rows:
         return None
     out = np.zeros(rows.num_rows)
@@ -341,41 +362,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     number = F.lit(0)
     for i, name in enumerate(named, 1):
         number = F.when(F.col("label") == name, i).otherwise(number)
-    by_class = written(word_counts(training.select(number.alias("class"), "text")), "class-words")
-    words = written(by_class.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = written(word_counts(training), "words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(totals["n"]), int(totals["v"])
+    by_class = training.select(number.alias("class"), F.col("text").cast("binary").alias("text"))
     model = fit(by_class)
-    texts = {r["class"]: r["n"] for r in by_class.where(F.col("word") == END).collect()}
+    texts = {r["class"]: r["n"] for r in by_class.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = np.array(sorted(texts) or [0])
     prior = np.log10(np.array([texts.get(k, 1) for k in used]) / max(1, sum(texts.values())))
     head = words.orderBy(F.col("word") != END, F.desc("n"), "word").limit(head_words).toArrow()  # END is always one
     known = head.column("word").to_pylist()
     logs = np.stack([model.log10(known, np.full(len(known), k)) for k in used])
     ends = np.array([model.log10([END], np.array([k]))[0] for k in used])
-    shared = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(known)}, np.log10(head.column("n").to_numpy() + 0.5), logs.astype(np.float32), used, prior + ends))
+    shared = spark.sparkContext.broadcast((model, {w: i for i, w in enumerate(known)}, np.log10(head.column("n").to_numpy() + 0.5), logs.astype(np.float32), used, prior, prior + ends))
     seen_end = END in known
     names = ["row", "id", "held_out", "n_tokens", "head_tokens", "head_base", "score", "coded_bytes", "tail"]
 
     def run(batches):
-        model, place, base_logs, logs, used, start = shared.value
+        model, place, base_logs, logs, used, prior, start = shared.value
         logs, base_logs = np.pad(logs, ((0, 0), (0, 1))), np.append(base_logs, 0.0)  # place -1: what is not frequent
         get, end = place.get, place.get(END)
         end_base = float(base_logs[end]) if end is not None else float(np.log10(0.5))
         for batch in batches:
             best, tails, columns = [], [], [[], [], [], [], []]
-            for text in batch.column(3).to_pylist():
+            texts = batch.column(3).to_pylist()
+            for text in texts:
                 words = space_words(text)
                 x = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                by_class = start + logs[:, x].sum(axis=1, dtype=np.float64)
-                best.append(int(by_class.argmax()))
+                best.append(int((start + logs[:, x].sum(axis=1, dtype=np.float64)).argmax()))
                 tails.append(Counter(words[i] for i in np.flatnonzero(x < 0).tolist()))
                 frequent = len(words) - tails[-1].total()
-                for c, v in zip(columns, (len(words) + 1, frequent + seen_end, float(base_logs[x].sum()) + end_base, float(by_class[best[-1]]), sum(map(len, words)) + len(words) + 1)):
+                for c, v in zip(columns, (len(words) + 1, frequent + seen_end, float(base_logs[x].sum()) + end_base, float(prior[best[-1]]), sum(map(len, words)) + len(words) + 1)):
                     c.append(v)
-            rare = list({(k, w) for k, t in zip(best, tails) for w in t})
-            costs = dict(zip(rare, model.log10([w for _, w in rare], used[[k for k, _ in rare]] if rare else used[:0]).tolist()))
-            columns[3] = [o + sum(n * costs[k, w] for w, n in t.items()) for o, k, t in zip(columns[3], best, tails)]
+            chosen = pa.RecordBatch.from_arrays([pa.array(used[best], pa.int32()), batch.column(3)], ["class", "text"])
+            costs = [np.add.reduceat(model.log10(words, classes, first), np.flatnonzero(first)) for words, classes, first in _in_order([chosen])]
+            columns[3] = (np.array(columns[3]) + np.concatenate(costs)).tolist() if costs else []
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([list(t.items()) for t in tails], pa.map_(pa.binary(), pa.int64()))], names)
 

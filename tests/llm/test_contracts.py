@@ -493,6 +493,23 @@ def test_mixing_is_a_probability():
     assert model.log10(words, none).sum() > before - 50
 
 
+def test_mixing_reads_in_order(spark):
+    """A text and its words shuffled differ, as trained and scored; a slice of a text has the contexts of the whole."""
+    rng = np.random.default_rng(3)
+    ring = [f"w{i}x" for i in range(40)]
+    texts = [" ".join((ring * 3)[k : k + 40]) for k in range(40)]
+    texts += [" ".join(rng.permutation(t.split())) for t in texts[:10]]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    # null ids are scored and teach nothing
+    got = mixing.score(df.withColumn("doc_id", F.when(F.col("doc_id") < 40, F.col("doc_id")))).select("doc_id", "score").collect()
+    assert min(r["score"] for r in got if r["doc_id"] is not None) > max(r["score"] for r in got if r["doc_id"] is None) + 10
+    words = [w.encode() for w in texts[0].split()]
+    first = np.arange(40) % 20 == 0
+    whole = mixing.words_bits(words, np.zeros(40, int), first)[1]
+    parts = np.concatenate([x[3] for x in mixing._parts(words, np.zeros(40, int), first, 7)], axis=2)
+    assert (whole == parts).all()
+
+
 # 9
 
 
