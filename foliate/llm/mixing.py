@@ -15,7 +15,7 @@ Training reads all training texts in order, distributed: every byte adds to its
 over the texts of each partition (a bit's own occurrence taken out of its slots, so that it is predicted as if unseen)
 and averaged by what each partition has seen; the map's record is that of the averaged weights.
 
-The tables are broadcast. Frequent words, of a fixed bound, only choose the class. The base counts of all other words
+The tables are broadcast and grow with the distinct words. Frequent words, of a fixed bound, only choose the class. The base counts of all other words
 reach the documents by a join.
 """
 
@@ -35,10 +35,12 @@ from foliate.llm.base import mapped, remainder, space_words, written
 
 END = b"\0"
 HEAD_WORDS = 1 << 17
-#: Slots of each context: last byte, two, three, four bytes, whole word so far, this with the word before.
+#: Least slots of each context: last byte, two, three, four bytes, whole word so far, this with the word before. All
+#: are doubled until the whole words' are WORD_SLOTS for each distinct training word.
 SLOTS = (1 << 18, 1 << 19, 1 << 20, 1 << 20, 1 << 22, 1 << 22)
 #: Classes beside the one of all other rows.
 MAX_CLASSES = 15
+WORD_SLOTS = 4
 #: Contexts whose slots are counted in one pass, so that a worker holds few tables.
 PASSES = ((0, 1, 2, 3), (4,), (5,))
 OFFSETS = np.concatenate([[0], np.cumsum(SLOTS)])
@@ -56,6 +58,21 @@ def _levels() -> np.ndarray:
 
 
 LEVEL_VALUES = _levels()
+
+
+def _cells(totals: np.ndarray) -> np.ndarray:
+    """The cells of (zeros, ones): where one is above the top level both are scaled, so that their ratio survives."""
+    top = totals.max(axis=1, initial=0, keepdims=True)
+    scaled = np.where(totals > 0, np.maximum(totals * (LEVEL_VALUES[-1] / np.maximum(top, LEVEL_VALUES[-1])), 1), 0)
+    level = (np.searchsorted(LEVEL_VALUES, scaled + 1e-6 * scaled, side="right") - 1).astype(np.uint16)
+    return level[:, 0] << 6 | level[:, 1]
+
+
+def doublings(distinct: int) -> int:
+    """How often the slots are doubled for so many distinct training words."""
+    return max(0, (-(-WORD_SLOTS * distinct // SLOTS[4]) - 1).bit_length())
+
+
 _ZEROS, _ONES = np.divmod(np.arange(4096), 64)  # a cell is the level of zeros * 64 + the level of ones
 _STRETCH = np.clip(np.log((LEVEL_VALUES[_ONES] + 0.4) / (LEVEL_VALUES[_ZEROS] + 0.4)), -9, 9).astype(np.float32)
 _CONFIDENCE = np.digitize(LEVEL_VALUES[_ZEROS] + LEVEL_VALUES[_ONES], [1, 4, 32]).astype(np.uint8)
@@ -74,13 +91,13 @@ def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.take(table, at, mode="clip")
 
 
-def words_bits(words: list[bytes], classes: np.ndarray, first: np.ndarray | None = None, contexts: tuple[int, ...] = tuple(range(N_CTX))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_bits(words: list[bytes], classes: np.ndarray, first: np.ndarray | None = None, contexts: tuple[int, ...] = tuple(range(N_CTX)), scale: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, slots, bits) of all coded bytes of the words: starts are the words' first bytes, bits has a row for each
     bit of a byte, and slots has such rows for each of ``contexts``. ``first`` marks the words that open a text; without
     it each is a text of its own.
 
     A context is hashed once for each half of a byte; the bits before a bit in its half flip the lowest bits of the
-    slot, so a half's slots lie together and are used evenly.
+    slot, so a half's slots lie together and are used evenly. The slots are doubled ``scale`` times.
     """
     coded = [w if w == END else w + b" " for w in words]
     sizes = np.fromiter(map(len, coded), np.int64, len(coded))
@@ -123,9 +140,9 @@ def words_bits(words: list[bytes], classes: np.ndarray, first: np.ndarray | None
         for row, i in enumerate(contexts):
             h = (known[i] + np.uint64(i + 1)) * mult
             h ^= h >> np.uint64(29)
-            shift = np.uint64(64 - SLOTS[i].bit_length() + 1)
+            shift = np.uint64(64 - SLOTS[i].bit_length() + 1 - scale)
             for at, key, nodes in ((0, h * half, upper), (4, (h ^ told) * mult, lower)):
-                base = (key >> shift).astype(np.int32) + np.int32(OFFSETS[i])
+                base = (key >> shift).astype(np.int32) + np.int32(OFFSETS[i] << scale)
                 np.bitwise_xor(base, nodes, out=slots[row, at : at + 4])
     return starts, slots, (octets >> np.arange(7, -1, -1, dtype=np.uint8)[:, None]) & 1
 
@@ -134,11 +151,11 @@ def words_bits(words: list[bytes], classes: np.ndarray, first: np.ndarray | None
 _LEAD = 2
 
 
-def _parts(words: list[bytes], classes: np.ndarray, first: np.ndarray | None, step: int, contexts: tuple[int, ...] = tuple(range(N_CTX))):
+def _parts(words: list[bytes], classes: np.ndarray, first: np.ndarray | None, step: int, contexts: tuple[int, ...] = tuple(range(N_CTX)), scale: int = 0):
     """(lo, hi, starts, slots, bits) of ``step`` words at a time, in the contexts of the whole."""
     for lo in range(0, len(words), step):
         hi, lead = min(lo + step, len(words)), min(lo, _LEAD) if first is not None else 0
-        starts, slots, bits = words_bits(words[lo - lead : hi], classes[lo - lead : hi], None if first is None else first[lo - lead : hi], contexts)
+        starts, slots, bits = words_bits(words[lo - lead : hi], classes[lo - lead : hi], None if first is None else first[lo - lead : hi], contexts, scale)
         if lead:
             cut = starts[lead]
             starts, slots, bits = starts[lead:] - cut, slots[:, :, cut:], bits[:, cut:]
@@ -152,6 +169,10 @@ class MixingModel:
     refine: np.ndarray = field(default_factory=lambda: np.zeros(8 * BUCKETS, np.float32))
     refined: bool = False
 
+    @property
+    def scale(self) -> int:
+        return (len(self.cells) // int(OFFSETS[-1])).bit_length() - 1
+
     def _mixed(self, inputs: np.ndarray, prefix: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The summed predictions and the gates, from the inputs and how much the two longest contexts have seen."""
         gates = _PLACES << 4 | (prefix << 2 | pair)
@@ -180,7 +201,7 @@ class MixingModel:
         """log10 of the probability of each word with its space (of END: alone) in its class, behind the words before it
         in its text."""
         out = np.zeros(len(words))
-        for lo, hi, starts, slots, bits in _parts(words, classes, first, step):
+        for lo, hi, starts, slots, bits in _parts(words, classes, first, step, scale=self.scale):
             x = self._predicted(slots)
             if self.refined:
                 x += _take(self.refine, self._bucket(x))
@@ -193,7 +214,7 @@ class MixingModel:
     def learn(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, rate: float = 0.05, step: int = 512) -> float:
         """One online pass over words in order, each weighted by its count, in steps scaled by the inputs' squares;
         returns the counts' sum."""
-        for lo, hi, starts, slots, bits in _parts(words, classes, first, step):
+        for lo, hi, starts, slots, bits in _parts(words, classes, first, step, scale=self.scale):
             x, inputs, gates = self._as_unseen(slots, bits)
             n = _each_byte(counts[lo:hi].astype(np.float32), starts, bits)
             error = (bits - 1 / (1 + np.exp(-np.clip(x, -20, 20)))) * n
@@ -207,7 +228,7 @@ class MixingModel:
     def residuals(self, words: list[bytes], classes: np.ndarray, counts: np.ndarray, first: np.ndarray | None = None, step: int = 4_000) -> np.ndarray:
         """For each bit place and bucket: weight, ones, and the sum of the predictions."""
         out = np.zeros((3, 8 * BUCKETS))
-        for lo, hi, starts, slots, bits in _parts(words, classes, first, step):
+        for lo, hi, starts, slots, bits in _parts(words, classes, first, step, scale=self.scale):
             x = self._as_unseen(slots, bits)[0]
             at = self._bucket(x).reshape(-1)
             n = _each_byte(counts[lo:hi].astype(np.float64), starts, bits)
@@ -258,16 +279,16 @@ def _opening(sizes: list[int]) -> np.ndarray:
     return first
 
 
-def slot_counts(training: DataFrame, contexts: tuple[int, ...]) -> DataFrame:
+def slot_counts(training: DataFrame, contexts: tuple[int, ...], scale: int = 0) -> DataFrame:
     """(chunk, cells): the cells of CHUNK consecutive slots of these contexts, compressed, from the texts of all partitions."""
-    low, high = int(OFFSETS[contexts[0]]), int(OFFSETS[contexts[-1] + 1])
+    low, high = int(OFFSETS[contexts[0]]) << scale, int(OFFSETS[contexts[-1] + 1]) << scale
 
     def run(batches):
         table = None
         for words, classes, first in _in_order(batches):
             if table is None:
                 table = np.zeros(2 * (high - low), np.uint32)
-            for _, _, _, slots, bits in _parts(words, classes, first, 4_000, contexts):
+            for _, _, _, slots, bits in _parts(words, classes, first, 4_000, contexts, scale):
                 once = np.ones(bits.size, np.uint32)
                 for row in slots:  # flat arrays of these types take the fast path of add.at
                     np.add.at(table, ((row - low) * 2 + bits).reshape(-1).astype(np.intp), once)
@@ -284,19 +305,20 @@ def slot_counts(training: DataFrame, contexts: tuple[int, ...]) -> DataFrame:
                 part = np.frombuffer(zlib.decompress(data), np.uint32).astype(np.uint64)
                 sums[c] = sums[c] + part if c in sums else part
         for c, total in sums.items():
-            level = np.minimum(np.searchsorted(LEVEL_VALUES, total, side="right") - 1, 63).astype(np.uint16).reshape(-1, 2)
-            cells = (level[:, 0] << 6 | level[:, 1]).astype("<u2")
+            cells = _cells(total.reshape(-1, 2)).astype("<u2")
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], ["chunk", "cells"])
 
     return mapped(training, run, "chunk long, counts binary", rows=2000).repartition(F.col("chunk")).mapInArrow(add, "chunk long, cells binary")
 
 
-def fit(training: DataFrame) -> MixingModel:
-    """Tables, weights and refinement from all training texts: rows (class, binary text), read in each pass."""
+def fit(training: DataFrame, distinct: int = 0) -> MixingModel:
+    """Tables for ``distinct`` words, weights and refinement from all training texts: rows (class, binary text), read in
+    each pass."""
     context = training.sparkSession.sparkContext
-    cells = np.zeros(int(OFFSETS[-1]), np.uint16)
+    scale = doublings(distinct)
+    cells = np.zeros(int(OFFSETS[-1]) << scale, np.uint16)
     for contexts in PASSES:
-        for row in slot_counts(training, contexts).toArrow().to_pylist():
+        for row in slot_counts(training, contexts, scale).toArrow().to_pylist():
             part = np.frombuffer(zlib.decompress(row["cells"]), "<u2")
             cells[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(part)] = part
     model = MixingModel(cells)
@@ -366,7 +388,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", class
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(totals["n"]), int(totals["v"])
     by_class = training.select(number.alias("class"), F.col("text").cast("binary").alias("text"))
-    model = fit(by_class)
+    model = fit(by_class, distinct)
     texts = {r["class"]: r["n"] for r in by_class.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
     used = np.array(sorted(texts) or [0])
     prior = np.log10(np.array([texts.get(k, 1) for k in used]) / max(1, sum(texts.values())))

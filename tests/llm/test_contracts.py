@@ -510,6 +510,21 @@ def test_mixing_reads_in_order(spark):
     assert (whole == parts).all()
 
 
+def test_mixing_counts_and_slots_grow():
+    """Counts beyond the top level keep their ratio, and each distinct word has its slots."""
+    pairs = np.array([[0, 0], [3, 24], [0, 10**10], [10**10, 10**8], [4 * 10**9, 4 * 10**9], [10**10, 1]], np.uint64)
+    cells = mixing._cells(pairs)
+    assert cells[:2].tolist() == [0, 3 << 6 | 24] and cells[2] >> 6 == 0 and cells[5] & 63 == 1
+    assert mixing._STRETCH[cells[3]] == pytest.approx(np.log(0.01), abs=0.4) and mixing._STRETCH[cells[4]] == 0
+    for n in (0, 1 << 20, (1 << 20) + 1, 50_000_000):
+        assert mixing.SLOTS[4] << mixing.doublings(n) >= 4 * n
+    assert mixing.doublings(1 << 20) == 0 and mixing.doublings((1 << 20) + 1) == 1
+    words = [b"one", b"two"]
+    slots = mixing.words_bits(words, np.zeros(2, int), scale=2)[1]
+    assert all((row >= low << 2).all() and (row < high << 2).all() for row, low, high in zip(slots, mixing.OFFSETS, mixing.OFFSETS[1:]))
+    assert mixing.MixingModel(np.zeros(int(mixing.OFFSETS[-1]) << 2, np.uint16)).scale == 2
+
+
 # 9
 
 
