@@ -1,17 +1,17 @@
 """Quality rules whose cutoffs are chosen by risk control on labelled documents.
 
-A rule rejects a text if its measure exceeds a cutoff. For each stratum (language), rule and cutoff of a fixed grid,
-the labelled good documents that it would reject are counted; the exact (Clopper-Pearson) upper bound of its false
-rejections, at a level divided by the number of all (stratum, rule, cutoff) hypotheses, must stay within
-the rule's share of ``alpha``. The lowest such cutoff is used; a rule without one rejects nothing in that stratum.
-By the union bound, with probability 1 - ``delta`` no stratum loses more than ``alpha`` of its good documents
-to these rules, whatever the rules and strata are.
+A text is rejected if any of its measures, all from 0 to 1, exceeds the cutoff of its stratum (language): one cutoff for
+the largest of them. For each cutoff of a fixed grid the labelled good documents that it would reject are counted. The
+cutoffs are tested in a fixed order, from the highest down (fixed-sequence testing), and the first whose exact
+(Clopper-Pearson) upper bound of false rejections, at the level ``delta`` divided by the number of strata, is above
+``alpha`` ends the test. The last cutoff before it is used; a stratum without one rejects nothing, and says so. By
+the union bound over strata, with probability 1 - ``delta`` none loses more than ``alpha`` of its good documents.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -127,39 +127,50 @@ def upper_bound(k: int, n: int, level: float) -> float:
 
 def cutoffs(counts: dict[str, tuple[int, list[list[int]]]], alpha: float = 0.02, delta: float = 0.05) -> dict[str, list[float | None]]:
     """For each stratum the cutoff of each rule or None. ``counts``: of a stratum, the labelled good documents, and
-    for each rule how many of them each cutoff of GRID rejects."""
-    level = delta / max(1, len(counts) * len(RULES) * len(GRID))
+    for each rule how many of them each cutoff of GRID rejects. Rules share ``alpha`` and ``delta`` evenly; a rule's cutoffs
+    are one sequence of tests."""
     out: dict[str, list[float | None]] = {}
     for stratum, (n, rejected) in counts.items():
-        out[stratum] = [
-            next((c for c, k in zip(GRID, row) if k <= n * alpha / len(RULES) and upper_bound(k, n, level) <= alpha / len(RULES)), None) for row in rejected
-        ]
+        level, share = delta / (len(counts) * len(rejected)), alpha / len(rejected)
+        out[stratum] = []
+        for row in rejected:
+            passed = takewhile(lambda x: x[1] <= n * share and upper_bound(x[1], n, level) <= share, zip(reversed(GRID), reversed(row)))
+            out[stratum].append(min((c for c, _ in passed), default=None))
     return out
 
 
-def calibrated(rows: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> dict[str, list[float | None]]:
+def worst() -> Column:
+    """The largest measure: what the one cutoff of a stratum is held against."""
+    return F.greatest(*RULES)
+
+
+def calibrated(rows: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> dict[str, float | None]:
     """Cutoffs from the measures of labelled documents. All labels take part; a document labelled more than once is
     good if no label says otherwise; labels without an id or quality, and null ids, teach nothing. Strata go to the
     driver, one row each."""
     said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = rows.join(said.where(F.col("quality") == 1), "doc_id")
-    over = [F.count_if(F.col(r) > c).alias(f"{r}:{i}") for r in RULES for i, c in enumerate(GRID)]
+    over = [F.count_if(worst() > c).alias(str(i)) for i, c in enumerate(GRID)]
     got = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *over).collect()
-    return cutoffs({r["stratum"]: (r["n"], [[r[f"{rule}:{i}"] for i in range(len(GRID))] for rule in RULES]) for r in got}, alpha, delta)
+    return {k: c for k, (c,) in cutoffs({r["stratum"]: (r["n"], [[r[str(i)] for i in range(len(GRID))]]) for r in got}, alpha, delta).items()}
 
 
-def verdict(chosen: dict[str, list[float | None]], stratum: str) -> Column:
-    """True for what no rule of its stratum rejects; a stratum without labels rejects nothing."""
-    hits = [
-        (F.col(stratum) == name) & (F.col(rule) > cut) for name, row in sorted(chosen.items()) for rule, cut in zip(RULES, row) if cut is not None
-    ]
-    return ~reduce(lambda a, b: a | b, hits, F.lit(False))
+def cutoff_of(chosen: dict[str, float | None], stratum: str) -> Column:
+    """A row's cutoff; null in a stratum without labels or with too few."""
+    out = F.lit(None).cast("double")
+    for name, cut in sorted(chosen.items()):
+        if cut is not None:
+            out = F.when(F.col(stratum) == name, cut).otherwise(out)
+    return out
 
 
 def quality_query(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept and the rates. A null language is a stratum of its own;
+    """doc_id, n_words, the base counts, base_failed, kept, the rates and the cutoff: null where none could be certified and the base rule decides alone. A null language is a stratum of its own;
     repeated rows are judged each; no rows give no rows."""
     rows = written(measured(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")), "measures")
     chosen = calibrated(rows, labels.select("doc_id", "quality"), "stratum", alpha, delta)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & verdict(chosen, "stratum")).alias("kept"), *RULES)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(worst() > cutoff_of(chosen, "stratum"), F.lit(False))).alias("kept"), *RULES,
+        cutoff_of(chosen, "stratum").alias("cutoff"),
+    )

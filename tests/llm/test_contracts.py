@@ -581,6 +581,19 @@ def test_quality_false_rejections(spark, docs, data):
     assert quality.quality_query(empty(spark), labels.limit(0)).count() == 0
 
 
+def test_quality_few_labels(spark):
+    """Some 220 labels a stratum certify a cutoff, over four strata; one with fewer says that it has none."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    rows = [(f"{lang}{i}", plain.replace("word", "x" * (i % 7 + 3)) if i < n else "#$%&" * 200 + " " + plain, lang) for lang, n in (("de", 230), ("en", 230), ("es", 230), ("fr", 100)) for i in range(n + 1)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    labels = docs.select("doc_id", (~F.col("text").startswith("#")).cast("int").alias("quality"))
+    got = quality.quality_query(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("not base_failed").collect()
+    assert {r["lang"] for r in got if r["cutoff"] is None} == {"fr"} and len({r["lang"] for r in got}) == 4
+    assert all(r["kept"] == (r["quality"] == 1 or r["lang"] == "fr") for r in got)
+    step = len(quality.GRID) - 3
+    assert quality.cutoffs({"en": (10_000, [[0] * step + [9_000] + [0] * 2])})["en"] == [quality.GRID[-2]]  # the sequence ends at a failure
+
+
 # 10
 
 
