@@ -76,9 +76,12 @@ def fuzzy(folded: bytes, notices: tuple = NOTICES) -> list[tuple[str, int, int,
             else:
                 merged.append([a, b])
         for a, b in merged:
-            while a < b and (m := pattern.search(folded, a, min(b, len(folded)))):
-                out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
-                a = max(m.end(), m.start() + 1)
+            left = [(a, min(b, len(folded)))]
+            while left:  # the best match of a part, then what is before and behind it
+                a, b = left.pop()
+                if a < b and (m := pattern.search(folded, a, b)):
+                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    left += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
     return out
 
 

@@ -303,6 +303,16 @@ def test_license_edits(spark, odd):
     assert licenses.license_query(empty(spark)).count() == 0
 
 
+def test_license_repeats():
+    """A notice's weaker matches before and behind its best one are found as well."""
+    bad, good = "all rights reservd", "all rights reserved"
+    for words in ([bad, bad, good], [good, bad, bad], [bad, good, bad], [bad, bad], [bad] * 5 + [good] + [bad] * 5):
+        text = " " + " ".join(words) + " "
+        spans = sorted(x[1:] for x in licenses.fuzzy(text.encode(), (("all rights reserved", "reserved", 1),)))
+        assert len(spans) == len(words) and [e for _, _, e in spans] == [int(w == bad) for w in words]
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(spans, spans[1:]))
+
+
 # 6
 
 
