@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,32 @@ class Segment:
                 starts.append(left)
         return (np.concatenate(which), np.concatenate(starts)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def near_phrases(self, phrases: Phrases, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """(phrase, document's place in the segment), each once: the phrase's rarest term stands in the document, and
+        around the start it implies every other term at most ``distance`` words from its own place."""
+        which, docs = [], []
+        ends = self.base[:-1] + self.lengths
+        names = list(phrases.vocabulary)
+        local = np.array([self.number.get(w, -1) for w in names], np.int64)
+        for p in range(len(phrases.terms)):
+            terms = local[phrases.terms[p, : phrases.lengths[p]]]
+            if (terms < 0).any():
+                continue
+            order = np.argsort(self.starts[terms + 1] - self.starts[terms], kind="stable").tolist()
+            place = self.postings(terms[order[0]])
+            left, doc = place - order[0], np.searchsorted(self.base, place, side="right") - 1
+            for j in order[1:]:
+                postings = self.postings(terms[j])
+                lo, hi = np.maximum(left + j - distance, self.base[doc]), np.minimum(left + j + distance, ends[doc] - 1)
+                stay = np.searchsorted(postings, lo) < np.searchsorted(postings, hi, side="right")
+                left, doc = left[stay], doc[stay]
+                if not len(left):
+                    break
+            found = np.unique(doc)
+            which.append(np.full(len(found), p))
+            docs.append(found)
+        return (np.concatenate(which), np.concatenate(docs)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
     def near(self, first: bytes, second: bytes, distance: int) -> list[tuple[int, int, int]]:
         """(document, position of first, position of second) of all pairs at most ``distance`` words apart."""
         if first not in self.number or second not in self.number:
@@ -239,6 +266,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return mapped(found, _summary, RESULT).join(rows.select("row", "_id"), "row").select(F.col("_id").alias(id_col), *COUNTS)
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, distance: int, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(row's id as a long, item as text), each pair once: some window of the item has all its terms in the row, each
+    at most ``distance`` words from where the window's rarest term puts it, in any order; exact matches are among them.
+    A term that a window holds twice may be met by one word. Null ids are kept; rows of one id share its pairs.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text")).withColumn("row", F.coalesce("row", F.lit(NULL_ID)))
+    context = rows.sparkSession.sparkContext
+    out = None
+    tests = blocks(benchmark, item_col, item_text, block_words)
+    for block in chain([next(tests, [])], tests):
+        test = phrases_of(block)
+        shared = context.broadcast(test)
+
+        def run(batches, shared=shared):
+            test = shared.value
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    s = Segment(*row)
+                    which, doc = s.near_phrases(test, distance)
+                    pairs = sorted({(int(s.docs[d]), item) for p, d in zip(which.tolist(), doc.tolist()) for item in test.items[p]})
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.string())], ["row", "item"])
+
+        found = mapped(written(index(rows, context.broadcast(test.vocabulary)), "postings"), run, "row long, item string")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct().select(F.when(F.col("row") != NULL_ID, F.col("row")).alias(id_col), "item")
+
+
 COUNTS = ("n_words", "n_hit", "n_items", "items_sha256")
 #: Stands for a null id while rows carry their ids through the index.
 NULL_ID = -(1 << 63)

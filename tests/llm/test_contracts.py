@@ -654,3 +654,20 @@ def test_proximity(spark):
     for r in decontamination.index(rows, vocabulary, "row", "text").collect():
         found |= set(decontamination.Segment(*r).near(b"a", b"b", 2))
     assert found == {(7, 0, 2), (7, 4, 2), (9, 1, 0)}
+
+
+@pytest.mark.parametrize("block", [decontamination.BLOCK_WORDS, 3])
+def test_proximity_of_passages(spark, block):
+    """Edited and spread windows match within the distance only, in one document only, over all segments."""
+    passage = [f"p{i}" for i in range(8)]
+    texts = [
+        " ".join(passage), "p0 p1 new p2 p3 p4 p5 other p6 p7", "p1 p0 p2 p3 p5 p4 p6 p7", " x y z u v w ".join(passage), "p0 p1 p2 p3 p4 p5 p6",
+        "p7", None, "q0 q1", "q1 far far far q0",
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "q1 q0")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("a", " ".join(passage)), ("b", "q0 q1"), ("c", None)], "item_id string, text string")
+    want = {0: {(0, "a"), (7, "b")}, 2: {(0, "a"), (1, "a"), (2, "a"), (7, "b"), (None, "b")}}
+    for distance, pairs in want.items():
+        got = [tuple(r) for r in decontamination.proximity(docs, items, distance, block_words=block).collect()]
+        assert len(got) == len(pairs) and set(got) == pairs
+    assert decontamination.proximity(docs, items.limit(0), 2).count() == 0
