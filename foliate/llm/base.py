@@ -37,14 +37,18 @@ def space_words(text: bytes, lower: bool = True) -> list[bytes]:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset in local mode.
+    On a cluster there is no folder that all see but a named one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="foliate-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
+        context.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
@@ -60,9 +64,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what a Python worker holds at once; long texts make few rows large."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of an Arrow batch at most. All operators use this one bound, so none changes what another was made for; Spark's
+#: own bound on a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch) holds beside it.
+BATCH_ROWS = 2000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` or somewhat more, for rows that are small."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
 
 
 def remainder(id_col: str, n: int) -> Column:
@@ -74,10 +92,12 @@ def rows_to_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 2000) -> DataFrame:
-    """``df.mapInArrow`` in batches of ``rows``; a worker gives its memory back when a task is done, as it may idle then
-    beside others."""
-    small_batches(df.sparkSession, rows)
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of BATCH_ROWS at most (fewer where the session says so); a worker gives its memory back
+    when a task is done, as it may idle then beside others."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
     def run(batches):
         yield from function(batches)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.base import mapped, space_words, written
+from foliate.llm.base import mapped, merged, space_words, written
 
 THRESHOLD = 3
 TILE = 2048
@@ -91,7 +91,7 @@ def anchored(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[at]), pa.array(home)], ["anchor", "fp", "home"])
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mapped(fps.select("fp").repartition(parts, "fp"), run, "anchor long, fp long, home boolean", rows=20_000)
+    return mapped(fps.select("fp").repartition(parts, "fp"), run, "anchor long, fp long, home boolean")
 
 
 def _forest(homes: np.ndarray, all_: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +146,7 @@ def _compare(threshold: int):
 
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in merged(batches, 50_000):
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             cols[2] = cols[2].view(np.uint64)  # a signed number's bits are counted without its sign
             if held is not None:
@@ -179,7 +179,7 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataF
     places = F.when(F.col("g") == 1, F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("home")))).otherwise(F.when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member))
     rows = rows.select("anchor", "fp", F.explode(places).alias("p")).select("anchor", F.col("p.tile").alias("tile"), "fp", F.col("p.home").alias("home"))
     rows = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
-    found = mapped(rows, _compare(threshold), "u long, v long", rows=50_000)
+    found = mapped(rows, _compare(threshold), "u long, v long")
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
