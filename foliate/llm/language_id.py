@@ -11,7 +11,6 @@ of a position is a walk of at most ``order`` steps: both are vectorized over who
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from foliate.llm.base import mapped, remainder
 
 ORDER = 4
-_LETTER = re.compile(r"[^\W\d_]")
 _SEGMENT = 1 << 18
 
 
@@ -188,7 +186,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", lang_out:
         m = shared.value
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            use = [i for i, t in enumerate(texts) if t and m.langs and _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if t and m.langs and any(map(str.isalpha, t))]
             coded = [_prepared(texts[i]) for i in use]
             lang, score, per_byte = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
             if use:
