@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliate.functions.patterns import java_error, java_groups
 from foliate.functions.text import is_blank, trim_all
 
 MATCH = "struct<type:string,level:int,raw_title:string,clean_title:string>"
@@ -28,10 +28,12 @@ class Rule:
             raise ValueError("a rule needs a type and a pattern")
         if self.level is not None and self.level < 1:
             raise ValueError("a rule's level starts at 1")
+        if said := java_error(self.pattern):
+            raise ValueError(f"a rule's pattern is no pattern: {said}")
 
     @property
     def groups(self) -> int:
-        return re.compile(self.pattern).groups
+        return java_groups(self.pattern)
 
     @property
     def java(self) -> str:
@@ -89,6 +91,7 @@ def chunk_kind(type_: Column, raw_title: Column) -> Column:
     low = F.lower(type_)
     heading = is_heading(type_, raw_title)
     out = F.when(heading, "Header")
+    # fixed values: the parts of names and the kinds they stand for, in this order
     for part, kind in (
         ("list", "ListItem"), ("table", "Table"), ("code", "CodeBlock"), ("quote", "Quote"), ("legal", "Legal"),
         ("numeric", "Numeric"), ("section", "Section"), ("appendix", "Appendix"),

@@ -6,15 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that are no keywords.
-STOP_WORDS = tuple(
-    """a an and are as at be by for from has he in is it its of on that the to was will with would could should
-    this these those they them their there where when what who how why which can may might must shall have had do does
-    did been being am were but or not no yes if then else than more most less least very much many some any all each
-    every both either neither one two three first second third last next previous before after during while until since because
-    so therefore however although though unless except instead rather quite just only also too even still yet already again once
-    twice here everywhere anywhere somewhere nowhere up down left right above below over under through across around between
-    among within without inside outside near far close away back forward toward against along beside behind beyond beneath""".split()
-)
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the", "to", "was", "will",
+    "with", "would", "could", "should", "this", "these", "those", "they", "them", "their", "there", "where", "when", "what", "who", "how", "why", "which",
+    "can", "may", "might", "must", "shall", "have", "had", "do", "does", "did", "been", "being", "am", "were", "but", "or", "not", "no", "yes", "if",
+    "then", "else", "than", "more", "most", "less", "least", "very", "much", "many", "some", "any", "all", "each", "every", "both", "either", "neither",
+    "one", "two", "three", "first", "second", "third", "last", "next", "previous", "before", "after", "during", "while", "until", "since", "because",
+    "so", "therefore", "however", "although", "though", "unless", "except", "instead", "rather", "quite", "just", "only", "also", "too", "even", "still",
+    "yet", "already", "again", "once", "twice", "here", "everywhere", "anywhere", "somewhere", "nowhere", "up", "down", "left", "right", "above", "below",
+    "over", "under", "through", "across", "around", "between", "among", "within", "without", "inside", "outside", "near", "far", "close", "away", "back",
+    "forward", "toward", "against", "along", "beside", "behind", "beyond", "beneath",
+)
 
 #: All that Unicode calls white space at either end.
 _EDGES = r"(?U)^\s+|\s+$"

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.patterns import java_error, slow_error
 from foliate.functions.text import is_blank, trim_all
 
+#: The greatest length, and the words of the messages below.
 MAX_LENGTH = 100
 
 
@@ -41,10 +42,8 @@ def mapping_errors(mappings: Mapping[str, Sequence[str] | None] | None) -> list[
         if not (pattern or "").strip():
             errors.append("Section mapping pattern cannot be null or empty")
             continue
-        try:
-            re.compile(pattern, re.IGNORECASE)
-        except re.error as e:
-            errors.append(f"Invalid regex pattern '{pattern}': {e}")
+        if said := java_error(pattern) or slow_error(pattern):
+            errors.append(f"Invalid regex pattern '{pattern}': {said}")
             continue
         errors += [f"Pattern '{pattern}': {e}" for e in keyword_errors(words)]
     return errors

@@ -5,30 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.functions.text import link_type
-from foliate.operators.graph import CONTAINS, HAS_NESTED_SECTION, HAS_SUBSECTION, LINKS_TO
+from foliate.functions.folds import running
+from foliate.functions.text import let, link_type
+from foliate.operators.graph import CONTAINS, HAS_NESTED_SECTION, HAS_SUBSECTION, LINKS_TO, TREE
 
 _OPEN = "struct<level:int,ord:bigint>"
-_TIE = "struct<ord:bigint,parent:bigint,kind:string>"
-_STATE = f"struct<stack:array<{_OPEN}>,current:bigint,n:bigint,out:array<{_TIE}>>"
-
-
-def whole_lines(text: Column, start: Column, stop: Column) -> Column:
-    """The lines from a start to the line's end at or behind ``stop``; empty for a block of one character."""
-    before = F.substring(text, F.lit(1), start.cast("int"))
-    line_start = start - F.length(F.substring_index(before, "\n", -1))
-    behind = F.substring(text, (stop + 1).cast("int"), F.length(text))
-    line_end = stop + F.length(F.substring_index(behind, "\n", 1))
-    return F.when((start < 0) | (stop > F.length(text)) | (start >= stop), "").otherwise(F.substring(text, (line_start + 1).cast("int"), (line_end - line_start).cast("int")))
+_TIE = "struct<parent:bigint,kind:string>"
+_STATE = f"struct<stack:array<{_OPEN}>,current:bigint,n:bigint>"
+_LINKS = "array<struct<url:string,text:string,type:string,title:string>>"
 
 
 def block_chunks(parsed: DataFrame) -> DataFrame:
     """One chunk a block, inside quotes and tables too. Titles count all chunks; there are no parents."""
-    rows = parsed.select("source_id", "text", F.posexplode("blocks").alias("i", "b"))
+    rows = parsed.select("source_id", F.posexplode("blocks").alias("i", "b"))
     kind, n = F.col("b.kind"), (F.col("i") + 1).cast("string")
     heading = kind == "heading"
     name = F.when(kind == "paragraph", "Paragraph ").when(kind == "list", "List ").otherwise("Code Block ")
-    original = whole_lines(F.col("text"), F.col("b.start"), F.col("b.stop"))
+    original = F.col("b.original")
     return rows.select(
         "source_id", F.concat_ws("#", "source_id", F.concat(F.lit("b"), n)).alias("chunk_id"), (F.col("i") + 1).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("parent_id"),
         F.col("b.level").alias("level"), F.when(heading, "Markdown").when(kind == "paragraph", "Paragraph").when(kind == "list", "List").otherwise("Code").alias("chunk_type"),
@@ -46,25 +39,65 @@ def _top(blocks: Column) -> Column:
     return F.filter(blocks, lambda b: b["top"])
 
 
-def elements(parsed: DataFrame) -> DataFrame:
-    """Top-level blocks, each followed by a virtual element for every internal link of it, unless it is a heading."""
-    rows = parsed.select("source_id", "text", F.posexplode(_top(F.col("blocks"))).alias("i", "b")).withColumn("links", _typed(F.col("b.links")))
+def _placed(parsed: DataFrame) -> DataFrame:
+    """Rows of top-level blocks (i, b), each with its tie to the element above it (t) and its typed links, and of the virtual
+    elements (k from 0, l) that stand for the internal links of blocks other than headings: one parse for elements,
+    edges and what is asked of both."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    start = F.struct(none(_OPEN).alias("stack"), F.lit(None).cast("bigint").alias("current"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(s: Column, b: Column) -> tuple[Column, Column]:
+        stack = F.filter(s["stack"], lambda o: o["level"] < b["level"])
+        above = F.get(stack, F.size(stack) - 1)
+        near = F.when(b["level"] - above["level"] == 1, HAS_SUBSECTION).otherwise(HAS_NESTED_SECTION)
+        tie = lambda parent, kind: F.when(parent.isNotNull(), F.struct(parent.alias("parent"), kind.alias("kind")).cast(_TIE))
+        opened = F.concat(stack, F.array(F.struct(b["level"].alias("level"), s["n"].alias("ord")).cast(_OPEN)))
+        heading = b["kind"] == "heading"
+        under = F.struct(opened.alias("stack"), s["n"].alias("current"), (s["n"] + 1).alias("n")).cast(_STATE)
+        beside = F.struct(s["stack"].alias("stack"), s["current"].alias("current"), (s["n"] + 1).alias("n")).cast(_STATE)
+        return F.when(heading, under).otherwise(beside), F.when(heading, tie(above["ord"], near)).otherwise(tie(s["current"], F.lit(CONTAINS)))
+
+    both = let(_top(F.col("blocks")), lambda top: F.arrays_zip(top.alias("b"), running(top, start, step, _STATE, _TIE).alias("t")))
+    rows = parsed.select("source_id", F.posexplode(both).alias("i", "x")).select("source_id", "i", "x.b", "x.t").withColumn("links", _typed(F.col("b.links")))
     own = F.struct(F.lit(-1).alias("k"), F.lit(None).cast("struct<url:string,text:string,type:string,title:string>").alias("l"))
     inner = F.filter("links", lambda x: (x["type"] == "Internal") & (F.col("b.kind") != "heading"))
-    all_ = F.concat(F.array(own), F.transform(inner, lambda x, k: F.struct(k.alias("k"), x.alias("l"))))
-    rows = rows.select("*", F.explode(all_).alias("e"))
-    virtual = F.col("e.k") >= 0
+    return rows.select("*", F.explode(F.concat(F.array(own), F.transform(inner, lambda x, k: F.struct(k.alias("k"), x.alias("l"))))).alias("e")).select("*", "e.*").drop("e")
+
+
+def elements(parsed: DataFrame) -> DataFrame:
+    """Top-level blocks, each followed by a virtual element for every internal link of it, unless it is a heading."""
+    return _placed(parsed).select(*_element())
+
+
+def root_elements(parsed: DataFrame) -> DataFrame:
+    """Elements that no tree edge leads to, straight from the parsed documents."""
+    return _placed(parsed).where((F.col("k") >= 0) | ~F.coalesce(F.col("t.kind").isin(*TREE), F.lit(False))).select(*_element())
+
+
+def parent_elements(parsed: DataFrame) -> DataFrame:
+    """(source_id, element_id, parent_element_id) of the elements that a tree edge leads to."""
+    rows = _placed(parsed).where((F.col("k") < 0) & F.col("t.kind").isin(*TREE))
+    return rows.select("source_id", element_id(F.col("source_id"), F.col("i")).alias("element_id"), element_id(F.col("source_id"), F.col("t.parent")).alias("parent_element_id"))
+
+
+def child_elements(parsed: DataFrame, parent: Column) -> DataFrame:
+    """Elements that a tree edge leads to from an element whose id fulfils the condition ``parent`` (of column parent_element_id)."""
+    rows = _placed(parsed).where((F.col("k") < 0) & F.col("t.kind").isin(*TREE)).withColumn("parent_element_id", element_id(F.col("source_id"), F.col("t.parent")))
+    return rows.where(parent).select(*_element())
+
+
+def _element() -> list[Column]:
+    virtual = F.col("k") >= 0
     only = lambda c: F.when(~virtual, c)
-    meta = F.when(virtual, F.create_map(F.lit("LinkUrl"), F.col("e.l.url"), F.lit("LinkType"), F.col("e.l.type"), F.lit("LinkTitle"), F.coalesce("e.l.title", F.lit("")))).otherwise(
-        F.create_map(F.lit("BlockType"), F.col("b.kind"), F.lit("HasChildren"), F.col("b.has_children").cast("string"), F.lit("LinkCount"), F.size("links").cast("string"))
-    )
-    return rows.select(
-        "source_id", element_id(F.col("source_id"), F.col("i"), F.col("e.k")).alias("element_id"), F.when(virtual, "link").otherwise(F.col("b.kind")).alias("element_type"),
-        F.when(virtual, F.col("e.l.text")).otherwise(F.col("b.content")).alias("content"), F.when(virtual, 0).otherwise(F.col("b.level")).alias("level"),
+    link = F.create_map(F.lit("LinkUrl"), F.col("l.url"), F.lit("LinkType"), F.col("l.type"), F.lit("LinkTitle"), F.coalesce("l.title", F.lit("")))
+    block = F.create_map(F.lit("BlockType"), F.col("b.kind"), F.lit("HasChildren"), F.col("b.has_children").cast("string"), F.lit("LinkCount"), F.size("links").cast("string"))
+    return [
+        F.col("source_id"), element_id(F.col("source_id"), F.col("i"), F.col("k")).alias("element_id"), F.when(virtual, "link").otherwise(F.col("b.kind")).alias("element_type"),
+        F.when(virtual, F.col("l.text")).otherwise(F.col("b.content")).alias("content"), F.when(virtual, 0).otherwise(F.col("b.level")).alias("level"),
         F.coalesce(only(F.col("b.start")), F.lit(0)).alias("start_offset"), F.coalesce(only(F.col("b.stop")), F.lit(0)).alias("end_offset"), F.coalesce(only(F.col("b.line")), F.lit(0)).alias("start_line"),
-        F.coalesce(only(F.col("b.line")), F.lit(0)).alias("end_line"), F.when(virtual, "").otherwise(whole_lines(F.col("text"), F.col("b.start"), F.col("b.stop"))).alias("original_markdown"),
-        F.when(virtual, F.array().cast("array<struct<url:string,text:string,type:string,title:string>>")).otherwise(F.col("links")).alias("links"), meta.alias("metadata"),
-    )
+        F.coalesce(only(F.col("b.line")), F.lit(0)).alias("end_line"), F.when(virtual, "").otherwise(F.col("b.original")).alias("original_markdown"),
+        F.when(virtual, F.array().cast(_LINKS)).otherwise(F.col("links")).alias("links"), F.when(virtual, link).otherwise(block).alias("metadata"),
+    ]
 
 
 def element_id(source: Column, i: Column, k: Column | None = None) -> Column:
@@ -83,35 +116,14 @@ def links(parsed: DataFrame) -> DataFrame:
 
 def edges(parsed: DataFrame) -> DataFrame:
     """Heading to heading (a step of one level or more than one), heading to what stands under it, element to its
-    internal links. ``edge_ord`` is the order within a document; all weights are 1."""
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    start = F.struct(none(_OPEN).alias("stack"), F.lit(None).cast("bigint").alias("current"), F.lit(0).cast("bigint").alias("n"), none(_TIE).alias("out")).cast(_STATE)
-
-    def step(s: Column, b: Column) -> Column:
-        stack = F.filter(s["stack"], lambda o: o["level"] < b["level"])
-        above = F.get(stack, F.size(stack) - 1)
-        near = F.when(b["level"] - above["level"] == 1, HAS_SUBSECTION).otherwise(HAS_NESTED_SECTION)
-        tie = lambda parent, kind: F.when(parent.isNotNull(), F.concat(s["out"], F.array(F.struct(s["n"].alias("ord"), parent.alias("parent"), kind.alias("kind")).cast(_TIE)))).otherwise(s["out"])
-        opened = F.concat(stack, F.array(F.struct(b["level"].alias("level"), s["n"].alias("ord")).cast(_OPEN)))
-        heading = F.struct(opened.alias("stack"), s["n"].alias("current"), (s["n"] + 1).alias("n"), tie(above["ord"], near).alias("out")).cast(_STATE)
-        other = F.struct(s["stack"].alias("stack"), s["current"].alias("current"), (s["n"] + 1).alias("n"), tie(s["current"], F.lit(CONTAINS)).alias("out")).cast(_STATE)
-        return F.when(b["kind"] == "heading", heading).otherwise(other)
-
-    ties = parsed.select("source_id", F.explode(F.aggregate(_top(F.col("blocks")), start, step, lambda s: s["out"])).alias("t"))
-    name = lambda c: element_id(F.col("source_id"), F.col(c))
-    tree = ties.select(
-        "source_id", F.col("t.ord").alias("o"), F.lit(-1).alias("k"), name("t.parent").alias("source_element_id"), name("t.ord").alias("target_element_id"), F.col("t.kind").alias("relationship_type"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
-    )
-    virtual = elements(parsed).where("element_type = 'link'")
-    parts = F.split("element_id", "#e(?=[0-9]+l[0-9]+$)")
-    tail = F.split(F.element_at(parts, -1), "l")
-    to_links = virtual.select(
-        "source_id", (tail[0].cast("bigint") - 1).alias("o"), (tail[1].cast("int") - 1).alias("k"), F.regexp_replace("element_id", "l[0-9]+$", "").alias("source_element_id"),
-        F.col("element_id").alias("target_element_id"), F.lit(LINKS_TO).alias("relationship_type"),
-        F.create_map(F.lit("LinkUrl"), F.col("metadata")["LinkUrl"], F.lit("LinkText"), F.col("content"), F.lit("LinkType"), F.col("metadata")["LinkType"]).alias("metadata"),
+    internal links. ``edge_ord`` is the order within a document; all weights are 1; ``created_at`` is when the query began."""
+    virtual = F.col("k") >= 0
+    name = lambda i, k=None: element_id(F.col("source_id"), i, k)
+    ord_ = (F.col("i").cast("bigint") * 1_000_000 + F.col("k") + 1).alias("edge_ord")
+    said = F.create_map(F.lit("LinkUrl"), F.col("l.url"), F.lit("LinkText"), F.col("l.text"), F.lit("LinkType"), F.col("l.type"))
+    return _placed(parsed).where(virtual | F.col("t.parent").isNotNull()).select(
+        "source_id", F.concat_ws("#", "source_id", F.concat(F.lit("x"), ord_.cast("string"))).alias("edge_id"), ord_,
+        F.when(virtual, name(F.col("i"))).otherwise(name(F.col("t.parent"))).alias("source_element_id"), name(F.col("i"), F.col("k")).alias("target_element_id"),
+        F.when(virtual, LINKS_TO).otherwise(F.col("t.kind")).alias("relationship_type"), F.lit(1.0).alias("weight"),
+        F.when(virtual, said).otherwise(F.create_map().cast("map<string,string>")).alias("metadata"), F.current_timestamp().alias("created_at"),
     )
-    ord_ = (F.col("o") * 1_000_000 + F.col("k") + 1).alias("edge_ord")
-    return tree.unionByName(to_links).select(
-        "source_id", F.concat_ws("#", "source_id", F.concat(F.lit("x"), ord_.cast("string"))).alias("edge_id"), ord_, "source_element_id", "target_element_id", "relationship_type", F.lit(1.0).alias("weight"), "metadata"
-    )

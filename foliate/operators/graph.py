@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions.text import let
 from foliate.operators.structure import each
+from foliate.sources.shared import written
 
 CONTAINS, HAS_SUBSECTION, HAS_NESTED_SECTION, LINKS_TO = "CONTAINS", "HAS_SUBSECTION", "HAS_NESTED_SECTION", "LINKS_TO"
-#: Names that edges may bear but no operator here makes.
-FOLLOWS, PRECEDES, PARENT_OF, SIBLING = "FOLLOWS", "PRECEDES", "PARENT_OF", "SIBLING"
 #: What makes one element another's child; nested sections and links don't.
 TREE = (HAS_SUBSECTION, CONTAINS)
 
 
-def closure(chunks: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(source_id, chunk_id, ancestor_id, depth): all ancestors, the parent at depth 1.
+def closure(chunks: DataFrame) -> DataFrame:
+    """(source_id, chunk_id, ancestor_id, depth): all ancestors, the parent at depth 1, for trees of any depth.
 
-    Each round joins what the last one found with the parents; the rounds end when one finds nothing, after as many as
-    the deepest tree has levels. ``max_depth`` guards against cycles.
+    Not lazy: after a round all ancestors up to a power of two are known, and the next round puts those behind the farthest
+    of them, so rounds grow with the logarithm of the depth. A chunk found above itself ends them with an error. Each round
+    writes its pairs to the shared folder; sections of documents need none of this (``closure_by_stack``).
     """
     parents = chunks.where("parent_id is not null").select("source_id", "chunk_id", "parent_id")
     known = chunks.select("source_id", F.col("chunk_id").alias("parent_id"))
-    edges = parents.join(known, ["source_id", "parent_id"], "left_semi").select("source_id", F.col("chunk_id").alias("child"), F.col("parent_id").alias("above")).persist()
-    out = last = edges.select("source_id", F.col("child").alias("chunk_id"), F.col("above").alias("ancestor_id"), F.lit(1).alias("depth"))
-    for depth in range(2, max_depth + 1):
-        up = edges.withColumnsRenamed({"child": "ancestor_id"})
-        last = last.join(up, ["source_id", "ancestor_id"]).select("source_id", "chunk_id", F.col("above").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        if last.isEmpty():
-            return out
-        out = out.unionByName(last)
-    raise ValueError(f"a tree deeper than {max_depth} levels, or a cycle")
+    pairs = parents.join(known, ["source_id", "parent_id"], "left_semi").select("source_id", "chunk_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+    pairs = written(pairs, "pairs")
+    for k in count():
+        far = pairs.where(F.col("depth") == 1 << k)
+        found = pairs.agg(F.count_if(F.col("depth") == 1 << k).alias("n"), F.count_if(F.col("chunk_id") == F.col("ancestor_id")).alias("loops")).first()
+        if found["loops"]:
+            raise ValueError("a chunk is its own ancestor")
+        if not found["n"]:
+            return pairs
+        above = pairs.select("source_id", F.col("chunk_id").alias("ancestor_id"), F.col("ancestor_id").alias("above"), F.col("depth").alias("more"))
+        beyond = far.join(above, ["source_id", "ancestor_id"]).select("source_id", "chunk_id", F.col("above").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        pairs = written(pairs.unionByName(beyond), "pairs")
 
 
 def closure_by_stack(chunks_of_documents: DataFrame) -> DataFrame:

@@ -7,22 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.folds import run_lengths
 from foliate.functions.text import clean_markup, distinct_ignoring_case, is_blank, keyword_tokens
 
-_RUN = "struct<word:string,n:bigint>"
-_STATE = f"struct<word:string,n:bigint,out:array<{_RUN}>>"
-
 
 def frequencies(tokens: Column) -> Column:
     """(word, n) of the distinct tokens. Equal ones are counted as runs of the sorted array, so nothing is exchanged."""
-    start = F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).cast("bigint").alias("n"), F.array().cast(f"array<{_RUN}>").alias("out")).cast(_STATE)
-    closed = lambda s: F.when(s["n"] > 0, F.concat(s["out"], F.array(F.struct(s["word"].alias("word"), s["n"].alias("n"))))).otherwise(s["out"])
-
-    def step(s: Column, w: Column) -> Column:
-        same = s["word"].eqNullSafe(w)
-        return F.struct(w.alias("word"), F.when(same, s["n"] + 1).otherwise(1).cast("bigint").alias("n"), F.when(same, s["out"]).otherwise(closed(s)).alias("out")).cast(_STATE)
-
-    return F.aggregate(F.array_sort(tokens), start, step, closed)
+    return run_lengths(tokens)
 
 
 def _top(tokens: Column, k: int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LINK = "struct<url:string,text:string,title:string>"
-BLOCK = f"struct<kind:string,level:int,content:string,start:bigint,stop:bigint,line:bigint,top:boolean,has_children:boolean,links:array<{LINK}>>"
+BLOCK = f"struct<kind:string,level:int,content:string,start:bigint,stop:bigint,line:bigint,top:boolean,has_children:boolean,links:array<{LINK}>,original:string>"
 
 _ATX = re.compile(r"(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r"(`{3,}(?=[^`]*$)|~{3,})")
@@ -407,18 +407,33 @@ def document_blocks(text: str) -> list[dict]:
 _LINK_TYPE = pa.struct([("url", pa.string()), ("text", pa.string()), ("title", pa.string())])
 _BLOCK_TYPE = pa.list_(pa.struct([
     ("kind", pa.string()), ("level", pa.int32()), ("content", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("line", pa.int64()), ("top", pa.bool_()),
-    ("has_children", pa.bool_()), ("links", pa.list_(_LINK_TYPE)),
+    ("has_children", pa.bool_()), ("links", pa.list_(_LINK_TYPE)), ("original", pa.string()),
 ]))
 
 
+def whole_lines(text: str, start: int, stop: int) -> str:
+    """The lines from a start to the line's end at or behind ``stop``; empty for a block of one character."""
+    if start < 0 or stop > len(text) or start >= stop:
+        return ""
+    end = text.find("\n", stop)
+    return text[text.rfind("\n", 0, start) + 1 : end if end >= 0 else len(text)]
+
+
+#: Texts parsed before their blocks are passed on.
+_AT_ONCE = 500
+
+
 def blocks(docs: DataFrame, id_col: str = "source_id", text_col: str = "text", parser: Callable[[str], list[dict]] = document_blocks) -> DataFrame:
     """(source_id, text, blocks): one row a document, blank texts with no blocks. ``parser`` may be any function that
-    gives rows of the same fields."""
+    gives rows of the same fields; ``original``, the whole lines of a block, is set here."""
     rows = docs.select(F.col(id_col).cast("string").alias("source_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in batches:
-            parsed = [parser(t) if t and t.strip() else [] for t in batch.column(1).to_pylist()]
+        for batch in (whole.slice(lo, _AT_ONCE) for whole in batches for lo in range(0, whole.num_rows, _AT_ONCE)):
+            parsed = []
+            for t in batch.column(1).to_pylist():
+                found = parser(t) if t and t.strip() else []
+                parsed.append([b | {"original": whole_lines(t, b["start"], b["stop"])} for b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parsed, _BLOCK_TYPE)], ["source_id", "text", "blocks"])
 
     return rows.mapInArrow(run, f"source_id string, text string, blocks array<{BLOCK}>")

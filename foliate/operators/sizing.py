@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliate.functions.folds import running
 from foliate.functions.text import let, trim_all
 from foliate.operators.structure import SECTION
 
-_STATE = "struct<parts:array<string>,cur:string>"
-
 
 def sentences(c: Column) -> Column:
     """Cut behind each ``.``, ``!`` or ``?`` before white space; blank ones are left out."""
@@ -17,15 +16,11 @@ def sentences(c: Column) -> Column:
 
 
 def _packed(pieces: Column, full, added) -> Column:
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("cur")).cast(_STATE)
-
-    def step(s: Column, x: Column) -> Column:
-        flush = full(s["cur"], x) & (F.length(s["cur"]) > 0)
-        cur = F.when(flush, "").otherwise(s["cur"])
-        parts = F.when(flush, F.concat(s["parts"], F.array(trim_all(s["cur"])))).otherwise(s["parts"])
-        return F.struct(parts.alias("parts"), added(cur, x).alias("cur")).cast(_STATE)
+    def step(cur: Column, x: Column) -> tuple[Column, Column]:
+        flush = full(cur, x) & (F.length(cur) > 0)
+        return added(F.when(flush, "").otherwise(cur), x), F.when(flush, trim_all(cur))
 
-    return F.aggregate(pieces, start, step, lambda s: F.when(F.length(s["cur"]) > 0, F.concat(s["parts"], F.array(trim_all(s["cur"])))).otherwise(s["parts"]))
+    return F.array_compact(running(pieces, F.lit(""), step, "string", "string", lambda cur: F.when(F.length(cur) > 0, trim_all(cur))))
 
 
 def pack_sentences(c: Column, max_size: int) -> Column:

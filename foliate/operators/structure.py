@@ -13,26 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.functions.folds import running
 from foliate.functions.rules import DEFAULT_RULES, MATCH, Rule, chunk_kind, is_heading, match_line
 from foliate.functions.text import is_blank, let, trim_all
 
 BREAK = r"[\r\n]"
 _OPEN = "struct<level:int,seq:bigint,title:string>"
-_HEAD = "struct<seq:bigint,pos:bigint,start:bigint,type:string,level:int,raw_title:string,clean_title:string,path:array<string>,parent_seq:bigint,parent_heading:string>"
+_HEAD = "struct<seq:bigint,pos:bigint,start:bigint,type:string,level:int,raw_title:string,clean_title:string,path:array<string>,parent_seq:bigint,parent_heading:string,above:array<string>>"
 
 SECTION = (
     "struct<seq:bigint,part:bigint,parent_seq:bigint,level:int,chunk_type:string,raw_title:string,clean_title:string,content:string,original_markdown:string,"
-    "start_offset:bigint,end_offset:bigint,heading_hierarchy:array<string>,section_level:int,is_heading:boolean,parent_heading:string,chunk_type_enum:string>"
+    "start_offset:bigint,end_offset:bigint,heading_hierarchy:array<string>,section_level:int,is_heading:boolean,parent_heading:string,chunk_type_enum:string,ancestor_titles:array<string>>"
 )
 
 
 def lines(docs: DataFrame, id_col: str = "source_id", text_col: str = "text") -> DataFrame:
     """(id, pos, line, start_offset); every carriage return and line feed ends a line. Blank texts have no lines."""
     parts = F.split(F.col(text_col), BREAK, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    offsets = F.aggregate(
-        parts, start, lambda s, x: F.struct((s["at"] + F.length(x) + 1).cast("bigint").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"]
-    )
+    offsets = running(parts, F.lit(0), lambda at, x: ((at + F.length(x) + 1).cast("bigint"), at), "bigint", "bigint")
     rows = docs.where(~is_blank(F.col(text_col))).select(id_col, F.posexplode(F.arrays_zip(parts.alias("line"), offsets.alias("start_offset"))).alias("pos", "x"))
     return rows.select(id_col, F.col("pos").cast("bigint").alias("pos"), "x.line", "x.start_offset")
 
@@ -46,27 +44,29 @@ def classified(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, id_col: s
 def _heads(parts: Column, rules: Sequence[Rule]) -> Column:
     matched = F.transform(parts, lambda x, i: F.struct(F.length(x).alias("n"), i.cast("bigint").alias("pos"), match_line(x, rules).alias("m")))
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none(_OPEN).alias("stack"), none("string").alias("path"), none(_HEAD).alias("out"))
-    state = f"struct<at:bigint,stack:array<{_OPEN}>,path:array<string>,out:array<{_HEAD}>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("n"), none(_OPEN).alias("stack"), none("string").alias("path"))
+    state = f"struct<at:bigint,n:bigint,stack:array<{_OPEN}>,path:array<string>>"
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
         m = x["m"]
         after = (s["at"] + x["n"] + 1).cast("bigint")
         stack = F.filter(s["stack"], lambda e: e["level"] < m["level"])  # it rises, so this pops
         own = m["type"].contains("H") & (m["clean_title"] != "")
         path = F.when(own, F.concat(F.slice(s["path"], F.lit(1), F.greatest(m["level"] - 1, F.lit(0))), F.array(m["clean_title"]))).otherwise(s["path"])
-        seq = (F.size(s["out"]) + 1).cast("bigint")
+        seq = s["n"] + 1
         top = F.get(stack, F.size(stack) - 1)
         head = F.struct(
             seq.alias("seq"), x["pos"].alias("pos"), s["at"].alias("start"), m["type"].alias("type"), m["level"].alias("level"), m["raw_title"].alias("raw_title"), m["clean_title"].alias("clean_title"),
             path.alias("path"), top["seq"].alias("parent_seq"), F.coalesce(top["title"], F.lit("")).alias("parent_heading"),
+            F.transform(stack, lambda e: e["title"]).alias("above"),
         ).cast(_HEAD)
         opened = F.struct(m["level"].alias("level"), seq.alias("seq"), m["clean_title"].alias("title")).cast(_OPEN)
-        found = F.struct(after.alias("at"), F.concat(stack, F.array(opened)).alias("stack"), path.alias("path"), F.concat(s["out"], F.array(head)).alias("out"))
-        plain = F.struct(after.alias("at"), s["stack"].alias("stack"), s["path"].alias("path"), s["out"].alias("out"))
-        return F.when(m.isNull(), plain).otherwise(found)  # a cast would copy the arrays at every line
+        found = F.struct(after.alias("at"), seq.alias("n"), F.concat(stack, F.array(opened)).alias("stack"), path.alias("path"))
+        plain = F.struct(after.alias("at"), s["n"].alias("n"), s["stack"].alias("stack"), s["path"].alias("path"))
+        # a cast would copy the arrays at every line
+        return F.when(m.isNull(), plain).otherwise(found), F.when(m.isNotNull(), head)
 
-    return F.aggregate(matched, start.cast(state), step, lambda s: s["out"])
+    return F.array_compact(running(matched, start, step, state, _HEAD))
 
 
 def section_array(text: Column, rules: Sequence[Rule] = DEFAULT_RULES, preserve_markdown: bool = False) -> Column:
@@ -77,24 +77,28 @@ def section_array(text: Column, rules: Sequence[Rule] = DEFAULT_RULES, preserve_
 def _section_array(text: Column, rules: Sequence[Rule], preserve_markdown: bool) -> Column:
     parts = F.split(text, BREAK, -1)
     heads = _heads(parts, rules)
+    # lines with the characters that end them: places count from a section's own line, never from the text's start
+    whole = F.split(text, r"(?<=[\r\n])", -1) if preserve_markdown else parts
 
-    def section(all_heads: Column, all_parts: Column, h: Column, i: Column) -> Column:
+    def section(all_heads: Column, all_parts: Column, all_lines: Column, h: Column, i: Column) -> Column:
         following = F.get(all_heads, i + 1)
-        inner = F.slice(all_parts, (h["pos"] + 2).cast("int"), (F.coalesce(following["pos"], F.size(all_parts)) - h["pos"] - 1).cast("int"))
+        below = (F.coalesce(following["pos"], F.size(all_parts)) - h["pos"] - 1).cast("int")
+        inner = F.slice(all_parts, (h["pos"] + 2).cast("int"), below)
         content = trim_all(F.array_join(inner, "\n"))
         end = F.when(content == "", h["start"]).otherwise(F.coalesce(following["start"] - 1, F.length(text)))
         original = F.lit("")
         if preserve_markdown:
             size = F.when(content == "", F.length(h["raw_title"])).otherwise(end - h["start"])
-            original = F.substring(text, (h["start"] + 1).cast("int"), size.cast("int"))
+            original = F.substring(F.array_join(F.slice(all_lines, (h["pos"] + 1).cast("int"), below + 1), ""), F.lit(1), size.cast("int"))
         return F.struct(
             h["seq"].alias("seq"), F.lit(1).cast("bigint").alias("part"), h["parent_seq"].alias("parent_seq"), h["level"].alias("level"), h["type"].alias("chunk_type"), h["raw_title"].alias("raw_title"),
             h["clean_title"].alias("clean_title"), content.alias("content"), original.alias("original_markdown"), h["start"].alias("start_offset"), end.cast("bigint").alias("end_offset"),
             h["path"].alias("heading_hierarchy"), h["level"].alias("section_level"), is_heading(h["type"], h["raw_title"]).alias("is_heading"), h["parent_heading"].alias("parent_heading"),
-            chunk_kind(h["type"], h["raw_title"]).alias("chunk_type_enum"),
+            chunk_kind(h["type"], h["raw_title"]).alias("chunk_type_enum"), h["above"].alias("ancestor_titles"),
         ).cast(SECTION)
 
-    found = let(F.struct(heads.alias("h"), parts.alias("p")), lambda b: F.transform(b["h"], lambda h, i: section(b["h"], b["p"], h, i)))
+    made = F.struct(heads.alias("h"), parts.alias("p"), whole.alias("w"))
+    found = let(made, lambda b: F.transform(b["h"], lambda h, i: section(b["h"], b["p"], b["w"], h, i)))
     return F.when(is_blank(text), F.array().cast(f"array<{SECTION}>")).otherwise(found)
 
 
@@ -154,10 +158,6 @@ def outline(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES) -> DataFrame
     """(source_id, seq, line): headings in order, each indented by how many chunks stand above it."""
     rows = docs.select("source_id", section_array(F.col("text"), rules).alias("s"))
 
-    def depths(s: Column) -> Column:
-        start = F.array().cast("array<int>")
-        return F.aggregate(s, start, lambda a, x: F.concat(a, F.array(F.when(x["parent_seq"].isNull(), 0).otherwise(F.get(a, (x["parent_seq"] - 1).cast("int")) + 1))))
-
     line = lambda x, d: F.concat(F.repeat(F.lit("  "), d), F.lit("["), x["chunk_type"], F.lit("] "), x["clean_title"])
-    made = let(rows["s"], lambda s: let(depths(s), lambda d: F.transform(s, lambda x, i: F.struct(x["seq"].alias("seq"), line(x, F.get(d, i)).alias("line")))))
+    made = F.transform(rows["s"], lambda x: F.struct(x["seq"].alias("seq"), line(x, F.size(x["ancestor_titles"])).alias("line")))
     return each(rows.select("source_id", made.alias("x")), "x").select("source_id", "x.*")

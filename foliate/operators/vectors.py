@@ -91,11 +91,21 @@ def check_model(path: str) -> None:
         raise ValueError(f"the model's size is out of range: {path}")
 
 
+#: Names of outputs that hold token vectors, in the order of preference.
+OUTPUTS = ("last_hidden_state", "hidden_states", "encoder_outputs", "output", "logits")
+
+
+def chosen_output(names: list[str]) -> str:
+    """The first of OUTPUTS that the model has, whatever its case, else the model's first output."""
+    by_low = {n.lower(): n for n in reversed(names)}
+    return next((by_low[o] for o in OUTPUTS if o in by_low), names[0])
+
+
 def model_vectors(texts: DataFrame, model_path: str, tokenize: Callable[[list[str], int], tuple[np.ndarray, np.ndarray]], text_col: str = "text", max_length: int = 512, use_mask: bool = True) -> DataFrame:
     """``texts`` with ``vector``, inferred by an ONNX model that the executors can open; a failure fails the task.
 
-    ``tokenize`` gives ids and mask, both (texts, max_length). Each worker opens the model once. ``last_hidden_state``,
-    else the first output, is pooled over the mask, or over all places without ``use_mask``.
+    ``tokenize`` gives ids and mask, both (texts, max_length). Each worker opens the model once. The output that
+    ``chosen_output`` names is pooled over the mask, or over all places without ``use_mask``.
     """
     check_model(model_path)
     columns = texts.columns
@@ -106,7 +116,7 @@ def model_vectors(texts: DataFrame, model_path: str, tokenize: Callable[[list[st
         session = onnxruntime.InferenceSession(model_path)
         wanted = {i.name for i in session.get_inputs()}
         names = [o.name for o in session.get_outputs()]
-        out = "last_hidden_state" if "last_hidden_state" in names else names[0]
+        out = chosen_output(names)
         for batch in batches:
             ids, mask = tokenize(batch[text_col].fillna("").tolist(), max_length)
             feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}

@@ -26,19 +26,23 @@ class DocumentGraph:
     chunks: DataFrame
     elements: DataFrame | None = None
     edges: DataFrame | None = None
+    #: Parsed documents, where the chunker has them: what is asked of elements and edges together takes one parse.
+    parsed: DataFrame | None = None
 
     @property
     def has_structure(self) -> bool:
         return self.elements is not None
 
     def root_elements(self) -> DataFrame:
-        return graph.root_elements(self.elements, self.edges)
+        return el.root_elements(self.parsed) if self.parsed is not None else graph.root_elements(self.elements, self.edges)
 
     def child_elements(self, element_id: str) -> DataFrame:
+        if self.parsed is not None:
+            return el.child_elements(self.parsed, F.col("parent_element_id") == element_id)
         return graph.child_elements(self.elements, self.edges, element_id)
 
     def parent_elements(self) -> DataFrame:
-        return graph.parent_elements(self.elements, self.edges)
+        return el.parent_elements(self.parsed) if self.parsed is not None else graph.parent_elements(self.elements, self.edges)
 
 
 class Chunker:
@@ -106,4 +110,4 @@ class Chunker:
         if not self.structure_first or self.strategy:
             return self.process(docs, strict)
         parsed = blocks(checked(docs, strict))
-        return DocumentGraph(self._with_keywords(el.block_chunks(parsed)), el.elements(parsed), el.edges(parsed))
+        return DocumentGraph(self._with_keywords(el.block_chunks(parsed)), el.elements(parsed), el.edges(parsed), parsed)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from foliate.functions.patterns import java_error, slow_error
+
 
 @dataclass(frozen=True)
 class ChunkerConfig:
@@ -52,16 +53,15 @@ class ChunkerConfig:
                 raise ValueError("section_keyword_mappings cannot hold a blank pattern")
             if any(not (k or "").strip() for k in words):
                 raise ValueError(f"section_keyword_mappings: pattern '{pattern}' holds blank keywords")
-            try:
-                re.compile(pattern)
-            except re.error as e:
-                raise ValueError(f"section_keyword_mappings: invalid pattern '{pattern}': {e}") from e
+            if said := java_error(pattern) or slow_error(pattern):
+                raise ValueError(f"section_keyword_mappings: invalid pattern '{pattern}': {said}")
         return self
 
     @classmethod
     def default(cls) -> ChunkerConfig:
         return cls()
 
+    # fixed values: the presets' sizes
     @classmethod
     def large_documents(cls) -> ChunkerConfig:
         return cls(max_chunk_size=2000, chunk_overlap=400, min_chunk_size=200)

@@ -44,8 +44,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlaid(spread(_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+def _docs(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    return overlaid(spread(_table(spark, sf_dir, "documents").select("doc_id", "text").where(which), "doc_id"))
 
 
 def _sections(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -56,8 +56,8 @@ def _section_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("source_id", structure.section_array(F.col("text")).alias("sections"))
 
 
-def _chunk_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Chunker().process(_docs(spark, sf_dir)).chunks.select("chunk_id", "keywords")
+def _chunk_keywords(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
+    return Chunker().process(_docs(spark, sf_dir, which)).chunks.select("chunk_id", "keywords")
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +210,7 @@ def ancestors(s, d):
 
 @query(o.BASE + _CLOSURE + f"select source_id, source_id || '#' || above as chunk_id, {_ID} as descendant_id, cast(depth as bigint) as depth from up")
 def descendants(s, d):
-    return graph.descendants(graph.closure(_sections(s, d))).withColumn("depth", F.col("depth").cast("bigint"))
+    return graph.descendants(graph.closure_by_stack(_section_arrays(s, d))).withColumn("depth", F.col("depth").cast("bigint"))
 
 
 @query(o.BASE + f"select source_id, {_ID} as chunk_id, clean_title from sections where parent_seq is null")
@@ -360,14 +360,13 @@ def kw_all(s, d):
     return analytics.all_keywords(_chunk_keywords(s, d))
 
 
-@query(o.BASE + o.tokens() + " select keyword, string_agg(chunk_id, ',' order by chunk_id) as chunk_ids from keywords group by keyword")
+@query(o.BASE + o.tokens() + " select keyword, chunk_id, count(*) as times from keywords group by all")
 def kw_index(s, d):
-    return analytics.keyword_index(_chunk_keywords(s, d)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+    return analytics.keyword_index(_chunk_keywords(s, d))
 
 
-def _query_chunks(chunks: DataFrame) -> DataFrame:
-    """The stated query set: chunks of documents whose number is divisible by 50."""
-    return chunks.where(F.split("chunk_id", "#")[0].cast("bigint") % 50 == 0)
+#: The stated query set: chunks of documents whose number is divisible by 50.
+QUERY_DOCS = "doc_id % 50 = 0"
 
 
 _WANTED = ", wanted as (select * from keywords where cast(split_part(chunk_id, '#', 1) as bigint) % 50 = 0)"
@@ -375,8 +374,7 @@ _WANTED = ", wanted as (select * from keywords where cast(split_part(chunk_id, '
 
 @query(o.BASE + o.tokens() + _WANTED + """ select w.chunk_id, k.chunk_id as other_id, count(*) as shared from wanted w join keywords k on w.keyword = k.keyword and w.chunk_id <> k.chunk_id group by all having count(*) >= 3""")
 def kw_related(s, d):
-    chunks = _chunk_keywords(s, d)
-    return analytics.related(chunks, 3, _query_chunks(chunks))
+    return analytics.related(_chunk_keywords(s, d), 3, _chunk_keywords(s, d, QUERY_DOCS))
 
 
 @query(o.BASE + o.tokens() + _WANTED + """, sizes as (select chunk_id, count(*) as n from keywords group by 1)
@@ -384,8 +382,7 @@ select chunk_id, other_id, round(both_n / (a.n + b.n - both_n), 6) as similarity
 from (select w.chunk_id, k.chunk_id as other_id, count(*) as both_n from wanted w join keywords k on w.keyword = k.keyword and w.chunk_id <> k.chunk_id group by all) join sizes a using (chunk_id) join sizes b on b.chunk_id = other_id
 where both_n / (a.n + b.n - both_n) > 0.2""")
 def kw_jaccard(s, d):
-    chunks = _chunk_keywords(s, d)
-    return analytics.similar(chunks, _query_chunks(chunks), 0.2).withColumn("similarity", F.round("similarity", 6))
+    return analytics.similar(_chunk_keywords(s, d), _chunk_keywords(s, d, QUERY_DOCS), 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
 SEARCH = ("Tion", "ING", "ment")
@@ -403,9 +400,9 @@ def kw_contains_all(s, d):
 
 
 @query(o.BASE + o.tokens() + """, signed as (select chunk_id, string_agg(keyword, '|' order by upper(keyword)) as signature from keywords group by chunk_id having count(*) >= 2)
-select signature, string_agg(chunk_id, ',' order by chunk_id) as chunk_ids from signed group by signature having count(*) > 1""")
+select signature, chunk_id from signed where signature in (select signature from signed group by signature having count(*) > 1)""")
 def kw_signature_groups(s, d):
-    return analytics.signature_groups(_chunk_keywords(s, d)).withColumn("chunk_ids", F.array_join("chunk_ids", ","))
+    return analytics.signature_groups(_chunk_keywords(s, d))
 
 
 @query(o.BASE + o.tokens() + """select l.quality, l.toxic, keyword, count(*) as frequency from keywords k join labels l on cast(l.doc_id as varchar) = split_part(k.chunk_id, '#', 1) group by all having count(*) > 1""")
@@ -528,22 +525,17 @@ _TREE = "relationship_type in ('HAS_SUBSECTION', 'CONTAINS')"
 
 @query(o.MARKDOWN + f"select source_id, element_id, element_type from elements where element_id not in (select target_element_id from edges where {_TREE})")
 def element_roots(s, d):
-    parsed = _parsed(s, d)
-    return graph.root_elements(el.elements(parsed), el.edges(parsed)).select("source_id", "element_id", "element_type")
+    return el.root_elements(_parsed(s, d)).select("source_id", "element_id", "element_type")
 
 
 @query(o.MARKDOWN + f"select e.source_id, e.element_id, e.element_type from elements e join edges x on x.target_element_id = e.element_id where {_TREE} and x.source_element_id like '%#e2'")
 def element_children(s, d):
-    parsed = _parsed(s, d)
-    second = F.col("source_element_id").endswith("#e2")
-    kids = el.edges(parsed).where(second & F.col("relationship_type").isin(*graph.TREE)).select("source_id", F.col("target_element_id").alias("element_id"))
-    return el.elements(parsed).join(kids, ["source_id", "element_id"], "left_semi").select("source_id", "element_id", "element_type")
+    return el.child_elements(_parsed(s, d), F.col("parent_element_id").endswith("#e2")).select("source_id", "element_id", "element_type")
 
 
 @query(o.MARKDOWN + f"select source_id, target_element_id as element_id, source_element_id as parent_element_id from edges where {_TREE}")
 def element_parent(s, d):
-    parsed = _parsed(s, d)
-    return graph.parent_elements(el.elements(parsed), el.edges(parsed))
+    return el.parent_elements(_parsed(s, d))
 
 
 # Vectors
@@ -552,12 +544,7 @@ def element_parent(s, d):
 @query(o.BASE + _CLOSURE + """, titles as (select u.source_id, u.seq, string_agg(s.clean_title, ': ' order by u.depth desc) as t from up u join sections s on s.source_id = u.source_id and s.seq = u.above where trim(s.clean_title) <> '' group by all)
 select s.source_id, s.seq, case when t is null then content else t || ': ' || content end as enriched from sections s left join titles using (source_id, seq)""")
 def ctx_enrich(s, d):
-    rows = _section_arrays(s, d)
-    chunks = structure.each(rows, "sections").select("source_id", "sections.seq", "sections.content", "sections.clean_title")
-    up = graph.closure_by_stack(rows).join(chunks.select(F.concat_ws("#", "source_id", F.col("seq").cast("string")).alias("ancestor_id"), "clean_title"), "ancestor_id")
-    titles = up.groupBy("chunk_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("depth", "clean_title")), asc=False), lambda t: t["clean_title"]).alias("titles"))
-    full = chunks.withColumn("chunk_id", F.concat_ws("#", "source_id", F.col("seq").cast("string"))).join(titles, "chunk_id", "left")
-    return full.select("source_id", "seq", tx.with_context(F.col("content"), F.coalesce("titles", F.array().cast("array<string>"))).alias("enriched"))
+    return _sections(s, d).select("source_id", "seq", tx.with_context(F.col("content"), F.col("ancestor_titles")).alias("enriched"))
 
 
 @query("select item_id, case when item_id % 2 = 0 then 'query: ' else 'passage: ' end || text as prefixed from benchmark")
@@ -601,10 +588,15 @@ def pool_masked(s, d):
     return _pool(s, d, "mask")
 
 
-@query()
+@query("""with t as (select item_id, case when item_id % 5 = 0 then '  ' else text end as text from benchmark)
+select item_id, cast(1024 as bigint) as n, case when trim(text) = '' then 0.0 else 1.0 end as norm, count(*) over (partition by text) as same from t""")
 def vec_hash(s, d):
-    rows = _table(s, d, "benchmark").select("item_id", vectors.hash_vector(F.col("text")).alias("vector"))
-    return rows.select("item_id", F.size("vector").alias("n"), F.round(vectors.l2_norm(F.col("vector")), 6).alias("norm"), "vector")
+    """Size, length and equality of vectors; blank texts give zeros, equal texts equal vectors, others others."""
+    blank = F.when(F.col("item_id") % 5 == 0, "  ").otherwise(F.col("text"))
+    rows = _table(s, d, "benchmark").select("item_id", vectors.hash_vector(blank).alias("v"))
+    rows = rows.select("item_id", F.size("v").cast("bigint").alias("n"), F.round(vectors.l2_norm(F.col("v")), 6).alias("norm"), F.sha2(F.to_json("v"), 256).alias("key"))
+    same = rows.groupBy("key").agg(F.count(F.lit(1)).alias("same"))
+    return rows.join(same, "key").select("item_id", "n", "norm", "same")
 
 
 # Whole documents
@@ -630,10 +622,11 @@ def corpus_summary(s, d):
     return rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("content")).cast("bigint").alias("n_chars"), F.count_distinct("source_id").alias("n_documents"))
 
 
-@query(o.BASE + "select source_id, pos, type from heads where false")
+@query(o.BASE + "select source_id, seq, clean_title from sections where cast(source_id as bigint) % 3 <> 0")
 def blank_documents(s, d):
-    """Documents of white space alone give no lines, and no sections."""
-    rows = _docs(s, d).withColumn("text", F.regexp_replace("text", r"(?U)\S", " "))
-    return structure.classified(rows).select("source_id", "pos", "type")
+    """Documents of white space alone, a third of all, give no sections; the guard leaves all others."""
+    some = F.col("source_id").cast("bigint") % 3 == 0
+    rows = _docs(s, d).withColumn("text", F.when(some, F.regexp_replace("text", r"(?U)\S", " ")).otherwise(F.col("text")))
+    return Chunker().process(rows).chunks.select("source_id", "seq", "clean_title")
 
 

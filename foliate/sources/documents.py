@@ -11,7 +11,8 @@ from foliate.functions.text import is_blank
 def from_files(spark: SparkSession, path: str) -> DataFrame:
     """One document a file, named after the file without its folder and extension."""
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(?<=.)\.[^.]*$", "")
-    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("source_id"), F.col("value").alias("text"))
+    # a path's escapes are of the form %20; a plus stands for itself
+    return spark.read.text(path, wholetext=True).select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("source_id"), F.col("value").alias("text"))
 
 
 def from_table(rows: DataFrame, id_col: str | Column | None, text_col: str = "text") -> DataFrame:

@@ -46,19 +46,26 @@ def tagged(spark):
 
 
 def test_analytics(tagged):
-    pairs = {(r[0], r[1]): r[2] for r in analytics.related(tagged, 2).collect()}
+    pairs = {(r[0], r[1]): r[2] for r in analytics.related(tagged, 2, tagged).collect()}
     assert pairs["a", "b"] == 2 and pairs["a", "g"] == 3 and ("a", "c") not in pairs
-    assert {(r[0], r[1]): r[2] for r in analytics.related(tagged.where("chunk_id in ('c', 'a')")).collect()} == {("a", "c"): 1, ("c", "a"): 1}
-    shared = {(r[0], r[1]): r[2] for r in analytics.similar(tagged).collect()}
+    few = tagged.where("chunk_id in ('c', 'a')")
+    assert {(r[0], r[1]): r[2] for r in analytics.related(few, 1, few).collect()} == {("a", "c"): 1, ("c", "a"): 1}
+    shared = {(r[0], r[1]): r[2] for r in analytics.similar(tagged, tagged).collect()}
     assert shared["a", "b"] == 0.5 and shared["a", "c"] == 0.25 and shared["a", "g"] == 1.0
     score = analytics.similarity(F.col("x.keywords"), F.col("y.keywords"))
     both = tagged.alias("x").join(tagged.alias("y"), F.col("x.chunk_id") < F.col("y.chunk_id")).select(F.col("x.chunk_id"), F.col("y.chunk_id"), score).collect()
     assert all((r[2] or 0) == shared.get((r[0], r[1]), 0.0) for r in both)
     assert [tuple(r) for r in analytics.top_keywords(tagged, 2).collect()] == [("api", 5), ("REST", 4)]
     assert {r[0].lower() for r in analytics.all_keywords(tagged).collect()} == {"api", "rest", "http", "json", "auth"}
-    index = {r[0]: r[1] for r in analytics.keyword_index(tagged).collect()}
+    rows = analytics.keyword_index(tagged)
+    assert {tuple(r) for r in rows.where("keyword in ('auth', 'http')").collect()} == {("auth", "c", 2), ("http", "a", 1), ("http", "g", 1)}
+    index = {r[0]: r[1] for r in analytics.listed(rows, "keyword").collect()}
     assert index["auth"] == ["c", "c"] and index["http"] == ["a", "g"]
-    assert [tuple(r) for r in analytics.signature_groups(tagged).collect()] == [("api|http|REST", ["a", "g"])]
+    groups = analytics.signature_groups(tagged)
+    assert {tuple(r) for r in groups.collect()} == {("api|http|REST", "a"), ("api|http|REST", "g")}
+    assert [tuple(r) for r in analytics.listed(groups, "signature").collect()] == [("api|http|REST", ["a", "g"])]
+    with pytest.raises(Exception, match="more chunks"):
+        analytics.listed(rows, "keyword", largest=3).collect()
     hit = tagged.select("chunk_id", analytics.contains_any(F.col("keywords"), ["JSON", "no"]).alias("any"), analytics.contains_all(F.col("keywords"), ["Api", "json"]).alias("all"), analytics.contains_all(F.col("keywords"), []).alias("none"))
     got = {r["chunk_id"]: (r["any"], r["all"], r["none"]) for r in hit.collect()}
     assert got["b"] == (True, True, True) and got["a"] == (False, False, True) and got["d"] == got["e"] == (False, False, False)
@@ -86,6 +93,7 @@ def test_validation(spark):
 @pytest.mark.parametrize("change", [
     dict(max_chunk_size=0), dict(min_chunk_size=0), dict(min_chunk_size=1000), dict(chunk_overlap=-1), dict(chunk_overlap=1000), dict(max_keywords_per_chunk=0), dict(custom_keywords=("a", " ")),
     dict(section_keyword_mappings={" ": ("a",)}), dict(section_keyword_mappings={"a": ("",)}), dict(section_keyword_mappings={"(": ("a",)}),
+    dict(section_keyword_mappings={"(a+)+b": ("a",)}), dict(section_keyword_mappings={"(?P<n>a)": ("a",)}),
 ])
 def test_bad_configuration(change):
     with pytest.raises(ValueError):

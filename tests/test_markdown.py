@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliate.functions.text import link_type
 from foliate.operators import elements as el
 from foliate.operators import graph
-from foliate.operators.markdown import document_blocks
+from foliate.operators.markdown import document_blocks, whole_lines
 from foliate.plans.chunker import Chunker
 from foliate.sources.documents import as_json, write_json
 from foliate.streaming.chunks import chunk_stream, read_documents, write_chunks
@@ -110,6 +110,18 @@ def test_stream(spark, tmp_path):
     assert [(r["chunk_id"], r["parent_id"]) for r in rows] == [("d0#1", None), ("d0#2", "d0#1"), ("d1#1", None), ("d1#2", "d1#1")]
 
 
-def test_whole_lines(spark):
-    df = spark.createDataFrame([("a\nbcd ef\ng", 4, 5), ("a\nbcd", 2, 2), ("ab\n", 0, 1), ("abc", 1, 9)], "t string, a int, b int")
-    assert [r[0] for r in df.select(el.whole_lines(F.col("t"), F.col("a"), F.col("b"))).collect()] == ["bcd ef", "", "ab", ""]
+def test_whole_lines():
+    rows = [("a\nbcd ef\ng", 4, 5), ("a\nbcd", 2, 2), ("ab\n", 0, 1), ("abc", 1, 9)]
+    assert [whole_lines(*r) for r in rows] == ["bcd ef", "", "ab", ""]
+
+
+def test_graph_from_one_parse(spark):
+    """What the graph says from its parsed documents is what joins of its tables say."""
+    texts = ["# A\n\ntext [x](./x.md) and [y](../y.md)\n\n### B\n\nmore\n\n## C\n\n- i\n", "plain\n\n# D\n", "", "## E\n\n# F\n\n```\nc\n```\n"]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "source_id string, text string")
+    made = Chunker.create_structure_first().process_with_structure(docs)
+    rows = lambda df: sorted((r["source_id"], r["element_id"], r["element_type"]) for r in df.collect())
+    assert rows(made.root_elements()) == rows(graph.root_elements(made.elements, made.edges))
+    assert sorted(map(tuple, made.parent_elements().collect())) == sorted(map(tuple, graph.parent_elements(made.elements, made.edges).collect()))
+    assert rows(made.child_elements("d0#e1")) == rows(graph.child_elements(made.elements, made.edges, "d0#e1")) != []
+    assert made.edges.where("created_at is null").count() == 0

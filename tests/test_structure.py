@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliate.functions.rules import DEFAULT_RULES, Rule
-from foliate.operators import graph, sizing, structure
+from foliate.operators import graph, keywords, sizing, structure
 from foliate.plans.chunker import Chunker
 from foliate.plans.config import ChunkerConfig
 from foliate.sources.documents import checked, from_files, from_table
@@ -252,3 +252,45 @@ def test_contract_document(spark):
 def test_fences_are_no_shelter(spark):
     rows = chunks_of(spark, "# A\n```python\n# comment\nx = 1\n```\n42 people came")
     assert [r["clean_title"] for r in rows] == ["A", "comment", "people came"] and rows[2]["chunk_type"] == "Numeric"
+
+
+def test_long_documents_take_linear_time(spark):
+    """A hundred thousand headings, lines, sentences or words of one document, each within the time of a few seconds."""
+    import time
+
+    n = 100_000
+    texts = {"headings": "\n".join(f"# t{i}" for i in range(n)), "lines": "\n".join(f"l{i}" for i in range(n)), "words": "# t\n" + " ".join(f"word{i}." for i in range(n))}
+    docs = spark.createDataFrame(list(texts.items()), "source_id string, text string").cache()
+    assert docs.count() == 3
+    began = time.time()
+    found = structure.sections(docs, preserve_markdown=True).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.max("start_offset").alias("at")).collect()
+    assert {r["source_id"]: r["n"] for r in found} == {"headings": n, "words": 1}
+    assert structure.lines(docs).where("source_id = 'lines'").agg(F.max("start_offset")).first()[0] == len(texts["lines"]) - len(f"l{n - 1}")
+    parts = docs.where("source_id = 'words'").select(F.size(sizing.pack_sentences(F.col("text"), 20)), F.size(sizing.pack_words(F.col("text"), 20))).first()
+    assert min(parts) > n / 4
+    words = docs.where("source_id = 'words'").select(F.size(keywords.frequencies(F.split("text", " ")))).first()[0]
+    assert words == n + 1
+    assert time.time() - began < 90
+
+
+def test_names_keep_their_plus(spark, tmp_path):
+    for name in ("a+b.md", "a b.md", "a%20c.md"):
+        (tmp_path / name).write_text("x")
+    assert {r["source_id"] for r in from_files(spark, str(tmp_path)).collect()} == {"a+b", "a b", "a%20c"}
+
+
+def test_closure_of_deep_trees_and_cycles(spark):
+    deep = spark.createDataFrame([("d", str(i), str(i - 1) if i else None) for i in range(70)], "source_id string, chunk_id string, parent_id string").coalesce(1)
+    assert graph.closure(deep).agg(F.max("depth")).first()[0] == 69
+    loop = spark.createDataFrame([("d", "a", "b"), ("d", "b", "a")], "source_id string, chunk_id string, parent_id string")
+    with pytest.raises(ValueError, match="own ancestor"):
+        graph.closure(loop)
+
+
+def test_rules_in_the_engines_dialect(spark):
+    rule = Rule(type="Named", pattern=r"^(?<key>\p{Lu}+): (.*)")
+    assert rule.groups == 2
+    with pytest.raises(ValueError):
+        Rule(type="Other", pattern=r"^(?P<key>x) (.*)")
+    df = spark.createDataFrame([("d", "ABC: title\ntext")], "source_id string, text string")
+    assert [r["clean_title"] for r in structure.sections(df, [rule]).collect()] == ["title"]

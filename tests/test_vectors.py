@@ -120,3 +120,10 @@ def test_hashed(spark):
         vectorizer.Vectorizer(model_path="x.onnx")
     with pytest.raises(ValueError):
         vectorizer.Vectorizer.default("/no/such/folder")
+
+
+def test_output_names():
+    from foliate.operators.vectors import chosen_output
+
+    assert chosen_output(["a", "LAST_hidden_state"]) == "LAST_hidden_state" and chosen_output(["logits", "Output", "x"]) == "Output"
+    assert chosen_output(["x", "y"]) == "x" and chosen_output(["encoder_outputs", "hidden_states"]) == "hidden_states"
