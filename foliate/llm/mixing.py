@@ -45,10 +45,10 @@ MAX_CLASSES = 15
 #: Powers of two: slots of the end of the word before, of all of it, and of the two words before.
 OPENING_SLOTS = (18, 19, 20)
 #: The same of two, three and four bytes and of the whole word so far; they grow with the distinct training words by up to MORE.
-REST_SLOTS = (19, 20, 20, 22)
+REST_SLOTS = (18, 19, 19, 21)
 MORE = 3
-WORD_SLOTS = 4
-SEGMENT = 16
+WORD_SLOTS = 2
+SEGMENT = 32
 #: Decisions of a word that are predicted by what stands before it.
 OPENING = 3
 #: Texts that a scorer takes at once, so that its arrays stay in the caches.
@@ -586,6 +586,8 @@ def fit_rest(words: DataFrame, trees: Trees, distinct: int) -> Mixer:
 
     got = _summed(words, residuals)
     mixer.refine = _refinement(got[1:] if got is not None else np.zeros(24 * BUCKETS))
+    for used in (shared, shared_trees, weights):  # what is learned goes out once more, with all the scorer needs
+        used.destroy()
     return mixer
 
 
@@ -628,6 +630,7 @@ def fit_opening(training: DataFrame, trees: Trees, step: int = 16_000) -> Mixer:
         yield from table.flush()
 
     cells, got = _gathered(mapped(training, run, "chunk long, data binary"), sum(1 << s for s in OPENING_SLOTS))
+    shared.destroy()
     mixer = Mixer.new(OPENING_SLOTS, cells)
     if got is not None:
         mixer.weights = (got[1 : 1 + width * GATES] / got[0]).reshape(width, GATES).astype(np.float32)
@@ -746,9 +749,9 @@ class Scorer:
         w = Words.of(distinct)
         chosen, top = np.zeros(n, np.int64), np.full(n, -np.inf)
         for j in range(n_classes):
-            votes = _take(self.head_votes[j], at % (len(self.base)))  # -1 stands for the last, a zero
+            votes = _take(self.head_votes[j], at % len(self.base)).astype(np.float64)  # -1 stands for the last, a zero
             if len(rare):
-                votes[rare] = np.add.reduceat(self.votes[j][w.pair], w.starts)[code]
+                votes[rare] = np.add.reduceat(self.votes[j][w.pair], w.starts).astype(np.float32)[code]
             votes = sums(votes) + self.prior[j]
             chosen[votes > top] = j
             top = np.maximum(top, votes)
@@ -794,7 +797,7 @@ def fit(training: DataFrame, named: list[str], head_words: int) -> tuple[Scorer,
     used = np.flatnonzero(texts) if texts.any() else np.zeros(1, int)
     prior = np.log10(np.maximum(texts[used], 1) / max(1, texts.sum()))
     rows, by = (x.reshape(classes, 256, 256)[used] for x in (pairs, pairs))
-    votes = np.log10((rows + 0.5) / (by.sum(axis=2, keepdims=True) + 128)).reshape(len(used), 65536)
+    votes = np.log10((rows + 0.5) / (by.sum(axis=2, keepdims=True) + 128)).reshape(len(used), 65536).astype(np.float32)
     head = words.orderBy(F.octet_length("word") != 0, F.desc("n"), "word").limit(head_words).select("word", "n").toArrow()  # END is always one
     known = head.column("word").combine_chunks()
     known = known if isinstance(known, pa.Array) else pa.concat_arrays(known.chunks)
@@ -802,10 +805,10 @@ def fit(training: DataFrame, named: list[str], head_words: int) -> tuple[Scorer,
     for i in range(2):
         for j, k in enumerate(used.tolist()):
             costs[i, j, :-1] = rest_costs(rest, trees, known, np.full(len(known), k), np.full(len(known), bool(i)))
-    base = np.append(np.log10(head.column("n").to_numpy() + 0.5), 0.0)
+    base = np.append(np.log10(head.column("n").to_numpy() + 0.5), 0.0).astype(np.float64)
     w = Words.of(known)
     head_votes = [np.append(np.add.reduceat(v[w.pair], w.starts) if len(known) else [], 0.0) for v in votes]
-    return Scorer(trees, opening, rest, Places(known), base, costs, used, prior, votes, np.stack(head_votes)), words, int(totals["n"]), int(totals["v"])
+    return Scorer(trees, opening, rest, Places(known), base, costs, used, prior, votes, np.stack(head_votes).astype(np.float32)), words, int(totals["n"]), int(totals["v"])
 
 
 def _level(count) -> F.Column:
