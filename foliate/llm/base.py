@@ -7,14 +7,16 @@ so the classes of the contracts, which all are ASCII sets or their complements,
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.sources.shared import shared_path, written
+
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Bytes to which each byte goes: A-Z to a-z, what is no word byte to a space.
@@ -23,9 +25,6 @@ _ALNUM = bytes(
     for b in range(256)
 )
 
-_own_dirs: dict[str, str] = {}
-
-
 def alnum_words(text: bytes) -> list[bytes]:
     """Words of digits, a-z and characters beyond ASCII, A-Z lower-cased."""
     return text.translate(_ALNUM).split()
@@ -36,32 +35,9 @@ def space_words(text: bytes, lower: bool = True) -> list[bytes]:
     return (text.lower() if lower else text).split()
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset in local mode.
-    On a cluster there is no folder that all see but a named one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = context.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="foliate-")
-        context.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, and lost executors cost nothing."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def file_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a URI and the path in it, for files that are no tables. Spark's names of one object store are one here."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
 
 #: Rows of an Arrow batch at most. All operators use this one bound, so none changes what another was made for; Spark's
@@ -83,6 +59,28 @@ def merged(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """A name that none of the columns bears, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key of more than one row in HEAVY is heavy: there are HEAVY of them at most, whatever the table.
+HEAVY = 4096
+
+
+def joined_to_one(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """The inner join of ``left`` with ``right``, a written table of one row a key that says in ``weight`` how many rows of
+    ``left`` have it. Heavy keys meet by a broadcast of at most HEAVY rows, so none of them fills a task; all others are
+    exchanged. ``weight`` does not come along."""
+    limit = int(right.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).first()["n"]) // HEAVY
+    heavy = F.broadcast(right.where(F.col(weight) > limit).drop(weight))
+    light = right.where(F.col(weight) <= limit).drop(weight)
+    return left.join(heavy, key).unionByName(left.join(heavy, key, "left_anti").join(light, key))
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
