@@ -3,7 +3,8 @@
 Two tables in a folder: ``payloads`` (digest, payload) holds each distinct payload once under its SHA-256, and
 ``headers`` (page_id, header, digest) the exact bytes of every record's header block. A record is header + payload +
 CRLF CRLF; joining the tables on the digest gives all original records back. Reading verifies every payload against
-its digest and every header against its payload, and stops the query at the first difference.
+its digest, takes each record's bytes apart again and holds lengths, end marks and digests against what is there, and stops
+the query at the first difference. ``export`` writes the records as plain WARC files.
 
 Of records with equal payloads of at least ``min_revisit`` bytes the one of largest page_id is a response, the others
 are revisits that refer to it and have no block of their own; smaller payloads are always responses.
@@ -11,10 +12,14 @@ are revisits that refer to it and have no block of their own; smaller payloads a
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.base import shared_path
+from foliate.llm.base import file_store, mapped, shared_path
 
 CRLF = "\r\n"
 MIN_REVISIT = 1000
@@ -30,32 +35,37 @@ def _lines(*fields: tuple[str, Column]) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), *[F.coalesce(F.concat(F.lit(name + ": "), value.cast("string"), F.lit(CRLF)), F.lit("")) for name, value in fields], F.lit(CRLF))
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit: int = MIN_REVISIT) -> None:
-    """Writes the two tables below ``path``.
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date_col: str | None = None, min_revisit: int = MIN_REVISIT) -> None:
+    """Writes the two tables below ``path``. WARC-Date is the time in ``date_col``, else that of the query's begin.
 
     A null payload is empty, a null url leaves out WARC-Target-URI (line breaks in a url become spaces, so no url can
-    forge a header). Rows that repeat a page_id are records each; of equal rows of the largest page_id one is the
-    response by no rule but its page_id, so all of them are. A null page_id is no candidate for a response unless no
-    other row has the payload; then those rows are responses. No rows give empty tables.
+    forge a header). Rows that repeat a page_id are records each, with ids of their own; rows of the largest page_id are
+    all responses, and revisits refer to the last of them. A null page_id is no candidate for a response unless no
+    other row has the payload; then those rows are responses. Very long payloads are stored whole. No rows give empty
+    tables; other columns, whatever their names, are not read. ``pages`` must give the same rows in the same partitions
+    each time it is read, as tables do.
     """
+    now = F.current_timestamp()
+    date = F.coalesce(F.col(date_col).cast("timestamp"), now) if date_col else now
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.col(url_col).cast("string"), r"[\r\n]+", " ").alias("url"),
-        F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"),
+        F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"), F.date_format(F.to_utc_timestamp(date, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        F.monotonically_increasing_id().alias("row"),
     ).select("*", F.sha2("payload", 256).alias("digest"))
     rows.groupBy("digest").agg(F.any_value("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
-    light = rows.select("page_id", "url", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
-    first = light.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("winner"))
-    light = light.join(first, "digest", "left")
+    light = rows.select("page_id", "url", "date", "row", "digest", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
+    first = light.where(F.col("size") >= min_revisit).groupBy("digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row"))).alias("best"))
+    light = light.join(first, "digest", "left").withColumns({"winner": F.col("best.page_id"), "winner_row": F.col("best.row")})
     revisit = F.coalesce((F.col("size") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("winner")), F.lit(False))
     refers = F.when(revisit, F.col("winner"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF * 2))
-    urn = lambda key: F.concat(F.lit("<urn:uuid:"), _uuid(F.lit("page"), F.coalesce(key.cast("string"), F.lit("null")), F.col("digest")), F.lit(">"))
+    urn = lambda row: F.concat(F.lit("<urn:uuid:"), _uuid(F.lit("record"), row.cast("string"), F.col("digest"), F.col("date")), F.lit(">"))
     header = _lines(
-        ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", urn(F.col("page_id"))),
+        ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", urn(F.col("row"))), ("WARC-Date", F.col("date")),
         ("WARC-Target-URI", F.col("url")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("X-Page-ID", F.col("page_id")),
-        ("X-Payload-Length", F.col("size")), ("X-Refers-To-Page", refers), ("WARC-Refers-To", F.when(revisit, urn(refers))),
+        ("X-Payload-Length", F.col("size")), ("X-Refers-To-Page", refers), ("WARC-Refers-To", F.when(revisit, urn(F.col("winner_row")))),
         ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ("Content-Type", F.lit("application/http; msgtype=response")), ("Content-Length", F.length(http) + F.when(revisit, 0).otherwise(F.col("size"))),
     )
@@ -79,8 +89,19 @@ def _field(head: Column, name: str) -> Column:
 
 
 def parsed(records: DataFrame) -> DataFrame:
-    """What the header blocks say, held against the payloads."""
-    head = F.col("header").cast("string")
+    """What the records' own bytes say, taken apart again: the WARC header ends at the first empty line, Content-Length
+    octets are the block, two line ends close it; a response's block is an HTTP header, an empty line and the payload. A
+    revisit has no payload of its own: that of the response stands for it. Lengths, end marks and digests are held
+    against the bytes; a difference stops the query."""
+    end = CRLF * 2
+    whole, text = F.col("record"), F.col("record").cast("string")  # bytes as they are
+    head = F.concat(F.substring_index(text, end, 1), F.lit(CRLF))
+    begin = F.octet_length(F.substring_index(text, end, 1)) + len(end)
+    block = F.substring(whole, begin + 1, F.octet_length(whole) - begin - len(end))
+    own = F.substring(block, F.octet_length(F.substring_index(block.cast("string"), end, 1)) + len(end) + 1, F.octet_length(whole))
+    shut = (F.octet_length(block) == _field(head, "Content-Length").cast("long")) & F.endswith(text, F.lit(end))
+    payload = F.when(_field(head, "WARC-Type") == "response", own).otherwise(F.col("payload"))
+    records = records.select("record", F.when(shut, payload).otherwise(F.raise_error(F.lit("a record's length is damaged")).cast("binary")).alias("payload"))
     size, sha1 = F.octet_length("payload"), F.sha1("payload")
     rows = records.select(
         _field(head, "X-Page-ID").cast("long").alias("page_id"), size.cast("long").alias("payload_bytes"),
@@ -93,6 +114,36 @@ def parsed(records: DataFrame) -> DataFrame:
     return rows.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
+def export(records: DataFrame, path: str) -> DataFrame:
+    """Writes the records (rows of ``read``) as WARC files below ``path`` (a URI that the executors can open), one for each
+    partition that has rows, and returns (file, page_id, byte_offset, byte_length), read back. A file is written under a name
+    of the attempt and renamed when it is whole."""
+    spark = records.sparkSession
+    names, schema = ["file", "page_id", "byte_offset", "byte_length"], "file string, page_id long, byte_offset long, byte_length long"
+
+    def run(batches):
+        store, base = file_store(path)
+        name, temp, sink, at = f"part-{TaskContext.get().partitionId():06d}.warc", "", None, 0
+        for batch in batches:
+            rows = []
+            for page, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if sink is None:
+                    store.create_dir(base, recursive=True)
+                    temp = f"{base}/_attempt-{uuid.uuid4().hex}"
+                    sink = store.open_output_stream(temp)
+                sink.write(record)
+                rows.append((name, page, at, len(record)))
+                at += len(record)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names)
+        if sink is not None:
+            sink.close()
+            store.move(temp, f"{base}/{name}")
+
+    mapped(records.select("page_id", "record"), run, schema).write.parquet(f"{path}/index")
+    return spark.read.schema(schema).parquet(f"{path}/index")
+
+
 def archive_query(pages: DataFrame) -> DataFrame:
     path = shared_path(pages.sparkSession, "warc")
     write(pages, path)
