@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.base import mapped, merged, space_words, written
+from foliate.llm.base import fresh, joined_to_one, mapped, merged, space_words, written
 
 THRESHOLD = 3
 TILE = 2048
@@ -39,6 +39,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     starts = (ends - np.fromiter(map(len, words), np.int64, n) - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], "<u8")
+    return _majority(hashes)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit numbers."""
     octets = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
@@ -193,11 +198,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = joined_to_one(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = joined_to_one(large, low, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -209,28 +214,78 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """(fp, least): for each fingerprint in ``rows`` (id, fp) the least id that its component holds, nulls last."""
-    nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
+    """(fp, least, n), a written table: for each fingerprint in ``rows`` (id, fp) the least id that its component holds, nulls
+    last, and how many rows have the fingerprint."""
+    nodes = written(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     ties = written(components(links(nodes.select("fp"), threshold)), "components")
     inner = ties.join(nodes, ties["node"] == nodes["fp"]).select("fp", "root", "least")
     best = inner.groupBy("root").agg(F.min("least").alias("best"))
     tied = inner.join(best, "root").select(F.col("fp"), F.col("best"))
-    return nodes.join(tied, "fp", "left").select("fp", F.when(F.col("best").isNotNull(), F.col("best")).otherwise(F.col("least")).alias("least"))
+    least = F.when(F.col("best").isNotNull(), F.col("best")).otherwise(F.col("least"))
+    return written(nodes.join(tied, "fp", "left").select("fp", least.alias("least"), "n"), "least")
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id. Null and empty texts share fingerprint zero. A null id is never the least
-    unless all of its component are null: then component_id is null. Repeated rows stay, in one component."""
+    """doc_id, fingerprint, component_id. Null and empty texts share fingerprint zero, very long ones are read whole. A null
+    id is never the least unless all of its component are null: then component_id is null. Repeated rows stay, in one
+    component; of ties the least id names it. No rows give none; other columns, whatever their names, are not read."""
     rows = written(fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fingerprints")
     least = near_duplicates(rows)
-    return rows.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+    return joined_to_one(rows, least, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
 
+#: Fingerprints of a row by which the pipeline links: by as many independent hashes of the same shingles.
+SIGNALS = 3
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component: the least doc_id, nulls last; of equal ones one row."""
-    columns = docs.columns
-    rows = written(fingerprints(docs.select(F.monotonically_increasing_id().alias("_row"), *columns), out="_fp"), "fingerprinted")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_row").alias("r"))
-    keys = rows.select(order.alias("_key"), F.col("_fp").alias("fp"))
-    kept = near_duplicates(keys, "_key").select(F.col("least.r").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*columns)
+
+def signals(text: bytes, shingle: int = 3, n: int = SIGNALS) -> list[int]:
+    """The fingerprint, and others made the same way from other hashes of the same shingles."""
+    words = space_words(text)
+    if not words:
+        return [0] * n
+    size = max(1, len(words) - shingle + 1)
+    parts = [b" ".join(words[i : i + shingle]) for i in range(size)]
+    out = [_majority(np.array([xxhash.xxh64_intdigest(p, 42) for p in parts], "<u8"))]
+    for seed in range(1, n, 2):  # one hash of 128 bits makes two
+        both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p, seed) for p in parts]), "<u8").reshape(-1, 2)
+        out += [_majority(both[:, 0].copy()), _majority(both[:, 1].copy())]
+    return out[:n]
+
+
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", n: int = SIGNALS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: the least id, nulls last; of equal ids the first row.
+
+    Rows are linked if any of ``n`` fingerprints, each of independent hashes of their three-word shingles, differ in three
+    bits at most: edits that happen to move one fingerprint too far rarely move all. Groups are what links connect. Null and
+    empty texts are one group, very long texts are read whole, repeated rows are one group each. All columns stay
+    as they are, whatever their names; no rows give none. ``docs`` must give the same rows in the same partitions each time
+    it is read, as tables do: its texts are read twice and never written.
+    """
+    row = fresh(docs.columns, "_row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    names = [f"fp{k}" for k in range(n)]
+
+    def run(batches):
+        for batch in batches:
+            got = np.array([signals(t or b"", n=n) for t in batch.column(2).to_pylist()], np.uint64).reshape(-1, n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(got[:, k].copy().view(np.int64)) for k in range(n))], ["r", "i", *names])
+
+    source = numbered.select(F.col(row).alias("r"), F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t"))
+    kind = source.schema["i"].dataType.simpleString()
+    rows = written(mapped(source, run, f"r long, i {kind}, {', '.join(f'{x} long' for x in names)}"), "fingerprints")
+    # nodes: rows of equal fingerprints, and each fingerprint of a kind that leads from one such node to another
+    order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("r").alias("r"))
+    nodes = written(rows.groupBy(*names).agg(F.min(order).alias("least")).withColumn("node", F.xxhash64(F.lit(-1), *names)), "nodes")
+    number = lambda k, c: F.xxhash64(F.lit(k), F.col(c))
+    edges = None
+    for k, name in enumerate(names):
+        found = written(nodes.groupBy(F.col(name).alias("fp")).agg(F.count(F.lit(1)).alias("n")), "distinct")
+        tied = written(links(found.select("fp")), "links")
+        leads = found.where("n > 1").select("fp").unionByName(tied.select(F.col("u").alias("fp"))).unionByName(tied.select(F.col("v").alias("fp"))).distinct()
+        own = nodes.select("node", F.col(name).alias("fp")).join(leads, "fp").select(F.col("node").alias("u"), number(k, "fp").alias("v"))
+        both = own.unionByName(tied.select(number(k, "u").alias("u"), number(k, "v").alias("v")))
+        edges = both if edges is None else edges.unionByName(both)
+    ties = components(edges)
+    rooted = nodes.join(ties, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)
