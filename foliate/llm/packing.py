@@ -102,6 +102,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     A null or empty text is its end id alone. Each row is a document of its own, whatever its id: repeated rows are
     packed each, a null id stays null. Other columns are not read. No rows give no pieces.
+    Very long texts are packed whole, sequence by sequence. Of equal pieces those read first are placed first.
     A worker holds one open bin a class. A sequence's number has the input partition in its high bits, so a
     partition computed again gives the same rows.
     """

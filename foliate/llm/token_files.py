@@ -22,12 +22,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm.base import mapped, shared_path
+from foliate.llm.base import file_store, mapped, shared_path
 from foliate.llm.tokens import default_vocabulary, encoder
 
 _HEAD, _LENGTH, _CRC = struct.Struct("<BBqI"), struct.Struct("<Q"), struct.Struct("<I")
@@ -71,10 +70,6 @@ def records(stream):
         yield head + rest
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
-
-
 def _shard(path: str, number: int) -> str:
     return f"{path}/shard-{number:08d}.rec"
 
@@ -83,7 +78,8 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """Writes the records below ``path`` (a URI that the executors can open) and returns the index, read back.
 
     A null or empty text is its end id alone. Null ids come first, without an id. Rows of equal ids are ordered by
-    a hash of their text; repeated rows give a record each. No rows give no shard and an empty index.
+    a hash of their text; repeated rows give a record each. No rows give no shard and an empty index. Very long texts are
+    encoded whole into one record. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     vocab = vocabulary or default_vocabulary()
@@ -93,7 +89,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
 
     def run(batches):
-        store, base = _store(path)
+        store, base = file_store(path)
         shard, at, ordinal, sink, temp = TaskContext.get().partitionId(), 0, 0, None, ""
         for batch in batches:
             index = []
@@ -136,7 +132,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
     def run(batches):
-        store, base = _store(path)
+        store, base = file_store(path)
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 shard, at = starts[k]
@@ -153,7 +149,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def read_records(path: str, index_rows: list) -> list[tuple[int | None, list[int]]]:
     """Document id and ids of the records of some index rows, by seeking; the rows come in any order."""
-    store, base = _store(path)
+    store, base = file_store(path)
     out = []
     for row in index_rows:
         with store.open_input_file(_shard(base, row["shard"])) as file:
@@ -162,6 +158,33 @@ def read_records(path: str, index_rows: list) -> list[tuple[int | None, list[int
     return out
 
 
+def fetch(index_rows: DataFrame, path: str, at_once: int = 4096) -> DataFrame:
+    """shard, ordinal, doc_id and ids of the records that some rows of the index name, in any order and as often as they name
+    them: the distributed shuffled read. Rows meet in tasks by shard and stretch of ``at_once`` records, so a large shard
+    is shared; each task opens a shard once for a stretch and seeks in ascending order."""
+    stretch = F.floor(F.col("ordinal") / at_once)
+    rows = index_rows.select("shard", "ordinal", "byte_offset", "byte_length").repartition("shard", stretch).sortWithinPartitions("shard", "ordinal")
+
+    def run(batches):
+        store, base = file_store(path)
+        for batch in batches:
+            shards = batch.column(0).to_pylist()
+            docs, ids, file, opened = [], [], None, None
+            for shard, at, size in zip(shards, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if shard != opened:
+                    if file is not None:
+                        file.close()
+                    file, opened = store.open_input_file(_shard(base, shard)), shard
+                doc, coded = unframe(file.read_at(size, at))
+                docs.append(doc)
+                ids.append(np.frombuffer(coded, "<u4").astype(np.int64))
+            if file is not None:
+                file.close()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(docs, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], ["shard", "ordinal", "doc_id", "ids"])
+
+    return mapped(rows, run, "shard long, ordinal long, doc_id long, ids array<long>")
+
+
 def token_file_query(docs: DataFrame) -> DataFrame:
     path = shared_path(docs.sparkSession, "token-files")
     write(docs, path)

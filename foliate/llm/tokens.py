@@ -6,6 +6,9 @@ of the whole text. A text with any other space is encoded whole. The same holds
 that are no white space. A run of letters, behind a space or not, is one of the pattern's parts, and so is a run
 of punctuation behind it: there the merges are all that is left to do.
 
+A text that holds an added token's content is encoded whole, too, and so is every text under a vocabulary of another kind
+(a normalizer, or a pre-tokenizer that is not the plain byte-level one).
+
 Pieces of a batch are told apart by Arrow's dictionary encoding; what their words encode to is kept in a bounded cache.
 """
 
@@ -45,13 +48,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.parts = self._plain_bytes()
         self.merges = self.tokenizer.model.tokenize
         self.coded = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.line = self.whole("\n")
 
+    def _plain_bytes(self) -> bool:
+        """Whether the rules by which texts are cut here are those of the vocabulary."""
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        plain = isinstance(cut, ByteLevel) and not cut.add_prefix_space and cut.use_regex
+        merges = isinstance(model, BPE) and not model.dropout and not model.continuing_subword_prefix and not model.end_of_word_suffix
+        return plain and merges and self.tokenizer.normalizer is None
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -101,6 +115,8 @@ class Encoder:
         return out
 
     def _encode(self, texts: pa.Array) -> list[bytes]:
+        if not self.parts:
+            return [self.whole(t) for t in texts.to_pylist()]
         if len(self.words) > _WORDS:
             self.words.clear()
         if len(self.plain) > _WORDS // 4:
@@ -121,10 +137,12 @@ class Encoder:
         ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
         data = memoryview(ids.buffers()[2] or b"")
         slow = set()
+        for content in self.added:
+            slow.update(np.flatnonzero(pc.match_substring(texts, content).to_numpy(zero_copy_only=False)).tolist())
         if odd:  # a space before white space: its text is encoded whole; at a text's start there is no space
             strange = np.isin(which, odd)
             strange[bounds[:-1]] = False
-            slow = set((np.searchsorted(bounds, np.flatnonzero(strange), side="right") - 1).tolist())
+            slow.update((np.searchsorted(bounds, np.flatnonzero(strange), side="right") - 1).tolist())
         heads = pieces.take(pa.array(bounds[:-1])).to_pylist()
         spans = zip(heads, ends[bounds[:-1] + 1].tolist(), ends[bounds[1:]].tolist())
         return [self.whole(texts[i].as_py()) if i in slow else self._plain(head) + data[a:b] for i, (head, a, b) in enumerate(spans)]

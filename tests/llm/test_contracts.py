@@ -24,6 +24,7 @@ TEXTS = [
     "token: secret: abcdefghijklmnop", 'API_KEY="abcDEF123456/+_.=-" passwd=short password:longenough12', "deadbeefdeadbeef deadbeefdeadbee AKIAABCDEFGHIJKLM AKIAABCDEFGHIJKLMN",
     "Key ghp0123456789abcdefABCDEF0123 and again", "Released under the MIT License. mit   license; MIT-LICENSE", "Lycensed under the Apache Lcense, Version 2.0",
     "GNU General Public License\ngeneral public license", "# * $ % & | < > ##", "<|endoftext|> text", "😀 emoji 😀 words 😀",
+    "a <|endoftext|>b\n<|endoftext|><|endoftext|> c", "<|endoftext|", "½ ² ③ Ⅷ 12", "Ⅷ",
 ]
 
 
@@ -126,9 +127,7 @@ def test_language_code_lengths():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -199,6 +198,33 @@ def test_token_files(spark, request, tokenizer, which):
     assert seen == true
 
 
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    import json
+
+    from foliate.llm.tokens import Encoder
+
+    plain = json.loads(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    texts = ["Hello there  you", " x y", "caf\u00e9 <|endoftext|> z", ""]
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}, {}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(plain | change))
+        own, true = Encoder(str(path)), Tokenizer.from_file(str(path))
+        assert own.parts == (not change)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(pa.array(texts))] == [true.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_files_fetch(spark, odd, tokenizer, tmp_path):
+    """Any rows of the index, twice over and out of order, give their records."""
+    path = f"file://{tmp_path}/files"
+    index = token_files.write(odd, path, shards=3)
+    texts = defaultdict(set)
+    for i, t in rows_of(odd):
+        texts[i].add(tuple(ids_of(tokenizer, t)))
+    got = token_files.fetch(index.unionByName(index).orderBy(F.rand(1)), path, at_once=4).collect()
+    assert len(got) == 2 * odd.count() and all(tuple(r["ids"]) in texts[r["doc_id"]] for r in got)
+    assert token_files.fetch(index.limit(0), path).count() == 0
+
+
 def test_token_files_shuffled_read_and_damage(spark, odd, tokenizer, tmp_path):
     path = f"file://{tmp_path}/files"
     index = token_files.write(odd.where("doc_id is not null"), path, shards=3).collect()
@@ -234,25 +260,50 @@ def joined(spans):
 def test_secrets(request, which):
     df = request.getfixturevalue(which)
     rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
-    more, owners = [], defaultdict(set)
-    for _, t, source in rows:
+    more, owners, repos = [], defaultdict(set), defaultdict(set)
+    for i, t, source in rows:
         base = base_spans(t)
         own = [(m.start(), 3, "owned", m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", t or "") if all(re.search(p, m[0]) for p in ("[a-z]", "[A-Z]", "[0-9]"))]
         own = [s for s in own if not any(b[0] < s[3] and s[0] < b[3] for b in base)]
         more.append((base, own))
         for s in base + own:
             owners[s[4]] |= {source} - {None}
+            repos[s[4]] |= {i} - {None}
+    copied = lambda s: len(owners[s[4]]) >= 3 or len(repos[s[4]]) >= 10
     want = defaultdict(list)
     for (i, _, _), (base, own) in zip(rows, more):
         n = Counter(s[2] for s in base)
-        kept = sorted(base + [s for s in own if len(owners[s[4]]) < 2])
-        copied = sum(len(owners[s[4]]) >= 2 for s in kept)
-        want[i].append((n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(kept), len(kept) - copied, copied))
-    got = keyed(secrets.secret_query(df), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied")
+        kept = sorted(base + [s for s in own if not copied(s)])
+        k = sum(map(copied, kept))
+        of = lambda by: ",".join(str(len(by[s[4]])) for s in kept)  # noqa: E731, B023
+        want[i].append((n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(kept), len(kept) - k, k, of(owners), of(repos)))
+    got = keyed(secrets.secret_query(df), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", "n_owners", "n_repos")
     assert got == {k: sorted(v, key=repr) for k, v in want.items()}
     assert any(x[0] for v in want.values() for x in v)
 
 
+def test_secrets_counts_decide(spark):
+    """Ten repositories of one owner make an example, a second owner does not; names in use do no harm."""
+    token = lambda c: f"x {c}aB3{'qW7z' * 6} y"
+    rows = [(i, token("one"), "a") for i in range(10)] + [(20 + i, token("two"), "ab"[i % 2]) for i in range(4)] + [(40 + i, token("three"), "abc"[i]) for i in range(3)] + [(60, token("four"), None)]
+    df = spark.createDataFrame([(*r, 1, 2, "z", "s") for r in rows], "doc_id long, text string, source string, _row int, _more int, hash string, spans string")
+    got = {r["doc_id"]: (r["n_owners"], r["n_repos"]) for r in secrets.secret_query(df).collect() if r["spans"]}
+    assert got == {20 + i: ("2", "4") for i in range(4)} | {60: ("0", "1")}
+    out = secrets.scan(df).where("_row = 1 and _more = 2 and hash = 'z'")
+    assert out.count() == len(rows) and set(out.columns) == {*df.columns, "base", "n_live", "n_copied"}
+
+
+def test_secrets_many_in_one_text(spark):
+    """Fifty thousand matches of one text, in seconds."""
+    import time
+
+    text = " ".join(f"{i:016x}" for i in range(50_000))
+    df = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    assert secrets.secret_query(df).first()["n_hex"] == 50_000
+    assert time.time() - began < 60
+
+
 def test_secrets_masked(spark, odd):
     out = keyed(secrets.redacted(odd), "text")
     assert out[17] == [('[secret]" passwd=short [secret]',)]  # the pattern ends before the closing quote
@@ -354,6 +405,32 @@ def test_archive_damage(spark, tmp_path):
         archive.read(spark, f"file://{tmp_path}/b").collect()
 
 
+def test_archive_files(spark, tmp_path):
+    """Exported files hold the records one behind another, as any reader of the format expects them."""
+    rows = [(1, "http://a/1", "x" * 1500), (2, "http://a/2", "x" * 1500), (2, "http://a/2", "x" * 1500), (3, None, None), (4, "u", "é\r\n\r\nWARC/1.1\r\n\r\n")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    archive.write(df, f"file://{tmp_path}/a")
+    index = archive.export(archive.read(spark, f"file://{tmp_path}/a"), f"file://{tmp_path}/warc").collect()
+    found, ids = [], set()
+    for name in {r["file"] for r in index}:
+        data, at = (tmp_path / "warc" / name).read_bytes(), 0
+        while at < len(data):
+            head, _, rest = data[at:].partition(b"\r\n\r\n")
+            fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+            size = int(fields[b"Content-Length"])
+            assert head.startswith(b"WARC/1.1\r\n") and re.fullmatch(rb"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields[b"WARC-Date"]) and rest[size : size + 4] == b"\r\n\r\n"
+            found.append((int(fields[b"X-Page-ID"]), fields[b"WARC-Type"], rest[:size].partition(b"\r\n\r\n")[2]))
+            ids.add(fields[b"WARC-Record-ID"])
+            if fields[b"WARC-Type"] == b"revisit":
+                assert fields[b"WARC-Refers-To"] != fields[b"WARC-Record-ID"]
+            at += len(head) + 4 + size + 4
+    assert len(ids) == 5
+    assert sorted(found) == sorted([(1, b"revisit", b""), (2, b"response", b"x" * 1500), (2, b"response", b"x" * 1500), (3, b"response", b""), (4, b"response", "é\r\n\r\nWARC/1.1\r\n\r\n".encode())])
+    cut = archive.read(spark, f"file://{tmp_path}/a").withColumn("record", F.expr("substring(record, 1, octet_length(record) - 1)"))
+    with pytest.raises(Exception, match="damaged"):
+        archive.parsed(cut).collect()
+
+
 # 7
 
 
@@ -574,7 +651,7 @@ def test_mixing_reads_in_order(spark):
     # null ids are scored and teach nothing
     got = mixing.score(df.withColumn("doc_id", F.when(F.col("doc_id") < 40, F.col("doc_id")))).select("doc_id", "score").collect()
     assert min(r["score"] for r in got if r["doc_id"] is not None) > max(r["score"] for r in got if r["doc_id"] is None)
-    own = [" ".join(f"v{x}" for x in rng.integers(0, 300, 200)) for _ in range(60)]
+    own = [" ".join(f"v{x}" for x in rng.integers(0, 300, 400)) for _ in range(60)]
     texts = own + own[:6]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["score"] for r in mixing.score(df).select("doc_id", "score").collect()}
@@ -721,13 +798,40 @@ def test_decontamination(spark, data, odd, docs, block):
     assert decontamination.hits(empty(spark), own, block_words=block).count() == 0
 
 
-def test_proximity(spark):
-    rows = spark.createDataFrame([(7, "a x b y a"), (9, "b a")], "row long, text string")
-    vocabulary = spark.sparkContext.broadcast({b"a": 0, b"b": 1})
+def near_items(w, items, distance):
+    """Items of which a window can be laid over the words, every term within the distance of its place."""
     found = set()
-    for r in decontamination.index(rows, vocabulary, "row", "text").collect():
-        found |= set(decontamination.Segment(*r).near(b"a", b"b", 2))
-    assert found == {(7, 0, 2), (7, 4, 2), (9, 1, 0)}
+    for item, t in items:
+        for window in windows_of(alnum(t)):
+            for start in range(-len(window) - distance, len(w) + distance):
+                if all(term in w[max(0, start + j - distance) : max(0, start + j + distance + 1)] for j, term in enumerate(window)):
+                    found.add(str(item))
+                    break
+    return found
+
+
+def test_proximity_against_brute_force(spark):
+    """Words of few kinds, so that many windows nearly match; in one block and many, in segments of all sizes."""
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(f"t{x}" for x in rng.integers(0, 12, n))
+    rows = [(i, text(int(rng.integers(0, 60)))) for i in range(40)] + [(40, None)]
+    items = [(i, text(int(rng.integers(1, 14)))) for i in range(12)]
+    docs, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for distance in (0, 1, 2):
+        want = {(i, x) for i, t in rows for x in near_items(alnum(t), items, distance)}
+        for block in (decontamination.BLOCK_WORDS, 3):
+            got = [tuple(r) for r in decontamination.proximity(docs, tests, distance, block_words=block).collect()]
+            assert len(got) == len(want) and set(got) == want
+    assert want
+
+
+def test_leaks_of_short_items(spark):
+    """One short item takes out nothing, two do, a full window does; names in use do no harm."""
+    items = spark.createDataFrame([(1, "of the"), (2, "and so"), (3, "a1 a2 a3 a4 a5 a6 a7 a8 a9")], "item_id long, text string")
+    texts = ["of the", "of the and so", "x a2 a3 a4 a5 a6 a7 a8 a9", None, "", "clean"]
+    docs = spark.createDataFrame([(i, t, 5, "r") for i, t in enumerate(texts)], "doc_id long, text string, _row int, items string")
+    out = decontamination.without_leaks(docs, items)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 3, 4, 5]
 
 
 @pytest.mark.parametrize("block", [decontamination.BLOCK_WORDS, 3])
@@ -740,7 +844,7 @@ def test_proximity_of_passages(spark, block):
     ]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "q1 q0")], "doc_id long, text string").coalesce(1)
     items = spark.createDataFrame([("a", " ".join(passage)), ("b", "q0 q1"), ("c", None)], "item_id string, text string")
-    want = {0: {(0, "a"), (7, "b")}, 2: {(0, "a"), (1, "a"), (2, "a"), (7, "b"), (None, "b")}}
+    want = {0: {(0, "a"), (7, "b")}, 2: {(0, "a"), (1, "a"), (2, "a"), (7, "b"), (None, "b")}}  # of the fifth a term is missing
     for distance, pairs in want.items():
         got = [tuple(r) for r in decontamination.proximity(docs, items, distance, block_words=block).collect()]
         assert len(got) == len(pairs) and set(got) == pairs
