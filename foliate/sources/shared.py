@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_open_scratches: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,7 +31,29 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for held in _open_scratches:
+        held.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators have written to the shared folder within it; results that read it must have been
+    written elsewhere by then."""
+    held: list[str] = []
+    _open_scratches.append(held)
+    try:
+        yield
+    finally:
+        _open_scratches.remove(held)
+        for path in held:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
