@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.base import mapped, remainder
+from foliate.llm.base import fresh, mapped, remainder
 
 ORDER = 4
 _SEGMENT = 1 << 18
+#: Costs that all nodes, symbols and languages may make up: 64 MB.
+MAX_COSTS = 1 << 24
 
 
 @dataclass
@@ -83,11 +85,13 @@ def _prepared(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 600, max_nodes: int = 8192) -> PpmModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 600, all_docs: int = 20_000, max_nodes: int = 8192) -> PpmModel:
     """A model from rows whose crc32(id) mod 3 is not 1, with text and language.
 
-    ``sample_docs`` bounds the sample: about so many documents of each language, chosen by a hash of the id,
-    each read whole. ``max_nodes`` bounds the tree: the most frequent contexts stay.
+    ``sample_docs`` and ``all_docs`` bound the sample: about so many documents of each language and of all together, chosen by
+    a hash of the id, each read whole; so what reaches the driver is bounded however many languages there are. ``max_nodes``
+    bounds the tree: the most frequent contexts stay, fewer where the tables of many languages would exceed MAX_COSTS
+    numbers; a context left out costs what the next shorter one says.
     Null texts, languages and ids teach nothing. Without any usable row the model knows no language.
     """
     usable = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(
@@ -100,7 +104,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.pmod(F.xxhash64(F.col("i"), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for lang in langs:
-        chosen = chosen | ((F.col("l") == lang) & (share < min(1.0, sample_docs / sizes[lang])))
+        chosen = chosen | ((F.col("l") == lang) & (share < min(1.0, min(sample_docs, all_docs / len(langs)) / sizes[lang])))
 
     def count(batches):
         for batch in batches:
@@ -124,6 +128,8 @@ def _compile(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray,
     lut = np.full(256, len(seen), np.int32)
     lut[seen] = np.arange(len(seen))
     symbols = len(seen) + 1
+    unseen = 256 - len(seen)  # bytes that share the last symbol: it has their room, and each of them costs its part
+    max_nodes = min(max_nodes, max(1, MAX_COSTS // (symbols * n_langs)))
     sym = lut[key & 255]
     # contexts of each order with their totals; the most frequent are nodes, a suffix before what extends it
     found = []
@@ -158,7 +164,7 @@ def _compile(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray,
         use = node >= 0
         counts = np.zeros((len(own), symbols, n_langs))
         np.add.at(counts, (place[node[use]], sym[use], lang[use]), n[use])
-        below = prob[parent[own]] if order else np.full((1, symbols, n_langs), 1 / 256)
+        below = prob[parent[own]] if order else np.broadcast_to(np.append(np.full(symbols - 1, 1 / 256), unseen / 256)[None, :, None], (1, symbols, n_langs))
         t = counts.sum(axis=1, keepdims=True)
         q = (counts > 0).sum(axis=1, keepdims=True)
         rest = np.where(counts > 0, 0, below)
@@ -167,6 +173,7 @@ def _compile(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray,
             p = np.where(counts > 0, (2 * counts - 1) / (2 * t), np.where(rest_sum > 0, q / (2 * t) * rest / rest_sum, 0))
         prob[own] = np.where(t > 0, p, below)
     cost = -np.log2(np.maximum(prob, 1e-12)).astype(np.float32)
+    cost[:, -1] += np.log2(max(unseen, 1))
     return PpmModel(langs, lut, child.reshape(-1), cost.reshape(size * symbols, n_langs), symbols)
 
 
@@ -175,7 +182,8 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", lang_out:
 
     Null texts and texts without a letter give ``und``, score 0 and null bits; so does a model of no language.
     Columns of ``docs`` keep their values; those that bear an output's name are replaced. Each row stands alone:
-    repeated rows get equal results, ties go to the language first by name.
+    repeated rows get equal results, ties go to the language first by name; very long texts are coded whole, and no rows
+    give none.
     """
     outs = (lang_out, score_out, bits_out)
     docs = docs.select(*[c for c in docs.columns if c not in outs])
@@ -215,7 +223,9 @@ MAX_BITS = 6.5
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without those of no language (null, no letter) or that every learned language codes as noise."""
+    """``docs`` without those of no language (null, no letter) or that every learned language codes as noise. Columns stay
+    as they are, whatever their names; repeated rows go or stay alike, very long texts are coded whole, no rows give none."""
     model = fit(docs)
-    kept = identify(docs, model, lang_out="_lang", score_out="_score", bits_out="_bits")
-    return kept.where((F.col("_lang") != "und") & (F.col("_bits") <= MAX_BITS)).select(*docs.columns)
+    lang, score, bits = (fresh(docs.columns, x) for x in ("_lang", "_score", "_bits"))
+    kept = identify(docs, model, lang_out=lang, score_out=score, bits_out=bits)
+    return kept.where((F.col(lang) != "und") & (F.col(bits) <= MAX_BITS)).select(*docs.columns)
