@@ -28,6 +28,7 @@ _DIGITS = bytes(b for b in range(256) if not 0x30 <= b <= 0x39)
 
 #: Measures, each a fraction of its own whole, so that 0 to 1 is the range of all.
 RULES = ("symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "shout_rate", "digit_rate", "one_word_rate")
+_WIDE = 2_000_000
 GRID = tuple(round(0.02 * i, 2) for i in range(1, 50))
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{r} double" for r in RULES)
@@ -53,8 +54,8 @@ def repeated_words(words: list[bytes]) -> int:
     w = np.array([put(x, len(ids)) for x in words], np.int64)
     v = len(ids)
     pair = w[:-1] * v + w[1:]
-    if v >= 2_000_000:  # three ids no longer fit 63 bits
-        pair, k = np.unique(pair, return_inverse=True)[1], 1
+    if v >= _WIDE:  # three ids no longer fit 63 bits
+        pair = np.unique(pair, return_inverse=True)[1].astype(np.int64)
     key = pair[:-1] * v + w[2:]
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
@@ -145,11 +146,12 @@ def worst() -> Column:
 
 
 def calibrated(rows: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> dict[str, float | None]:
-    """Cutoffs from the measures of labelled documents. All labels take part; a document labelled more than once is
-    good if no label says otherwise; labels without an id or quality, and null ids, teach nothing. Strata go to the
-    driver, one row each."""
+    """Cutoffs from the measures of labelled documents: all of them are the holdout, as nothing else is fitted (rules and grid are
+    fixed beforehand). Equal texts of a stratum count once, since copies are no independent cases; ``rows`` have a hash of
+    the text in ``key``. A document labelled more than once is good if no label says otherwise; labels without an id or
+    quality, and null ids, teach nothing. Strata go to the driver, one row each."""
     said = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good = rows.join(said.where(F.col("quality") == 1), "doc_id")
+    good = rows.join(said.where(F.col("quality") == 1), "doc_id").groupBy(stratum, "key").agg(*(F.first(r).alias(r) for r in RULES))
     over = [F.count_if(worst() > c).alias(str(i)) for i, c in enumerate(GRID)]
     got = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *over).collect()
     return {k: c for k, (c,) in cutoffs({r["stratum"]: (r["n"], [[r[str(i)] for i in range(len(GRID))]]) for r in got}, alpha, delta).items()}
@@ -165,9 +167,12 @@ def cutoff_of(chosen: dict[str, float | None], stratum: str) -> Column:
 
 
 def quality_query(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """doc_id, n_words, the base counts, base_failed, kept, the rates and the cutoff: null where none could be certified and the base rule decides alone. A null language is a stratum of its own;
-    repeated rows are judged each; no rows give no rows."""
-    rows = written(measured(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), "text")), "measures")
+    """doc_id, n_words, the base counts, base_failed, kept, the rates and the cutoff: null where none could be certified and
+    the base rule decides alone. A null language is a stratum of its own, a null or empty text has no words, very long
+    ones are measured whole; a measure that equals the cutoff passes. Repeated rows are judged each; no rows give none, no
+    labels no cutoffs. Other columns, whatever their names, are not read."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = written(measured(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), key.alias("key"), "text")), "measures")
     chosen = calibrated(rows, labels.select("doc_id", "quality"), "stratum", alpha, delta)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
