@@ -8,9 +8,9 @@ space, so edits count what differs beyond case, punctuation and line breaks.
 
 from __future__ import annotations
 
-import bisect
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -89,7 +89,8 @@ def scan_text(text: str | None, notices: tuple = NOTICES) -> dict:
     words = alnum_words((text or "").encode("utf-8", "replace"))
     folded = b" " + b" ".join(words) + b" "
     base: list[tuple[int, str]] = []
-    word_at = lambda place: folded.count(b" ", 0, place)
+    spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+    word_at = lambda place: int(np.searchsorted(spaces, place))
     for phrase, label in BASE:
         base += [(word_at(p), label) for p in _places(folded, b" " + phrase + b" ")]
     found = fuzzy(folded, notices)
@@ -110,8 +111,9 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 def scan(docs: DataFrame, text_col: str = "text", notices: tuple = NOTICES) -> DataFrame:
     """``docs`` without its text, with what was found; spans are places of words, from 0, ends exclusive.
 
-    A null text is empty: no words, no labels, null places, score 0. Repeated rows are scanned each; columns that
-    bear an output's name are replaced. Whole texts are searched.
+    A null or empty text has no words and no labels, null places, score 0; very long texts are searched whole. Of a notice's
+    overlapping matches that of fewest edits stays, of ties the first; different notices may overlap. Repeated rows are
+    scanned each; columns that bear an output's name are replaced; no rows give none.
     """
     kinds = pa.schema([
         ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()),

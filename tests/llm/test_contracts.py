@@ -106,7 +106,7 @@ def test_language_code_lengths():
 
     def distribution(data, context, symbols):
         counts = Counter(s for c, s in data if c.endswith(context))
-        below = distribution(data, context[1:], symbols) if context else {s: 1 / 256 for s in symbols}
+        below = distribution(data, context[1:], symbols) if context else {s: 1 / 256 if s >= 0 else 1 - len(seen) / 256 for s in symbols}
         if not counts:
             return below
         total, rest = sum(counts.values()), sum(p for s, p in below.items() if s not in counts)
@@ -118,7 +118,7 @@ def test_language_code_lengths():
         bits, padded = 0.0, b"    " + text
         for j, s in enumerate(text):
             symbol = s if s in seen else -1
-            bits -= np.log2(distribution(data, padded[j : j + 4], [*seen, -1])[symbol])
+            bits -= np.log2(distribution(data, padded[j : j + 4], [*seen, -1])[symbol] / (1 if symbol >= 0 else 256 - len(seen)))
         assert model.bits([text])[0, i] == pytest.approx(bits, rel=1e-4)
 
 
@@ -355,6 +355,36 @@ def test_license_edits(spark, odd):
     assert licenses.license_query(empty(spark)).count() == 0
 
 
+def test_license_notices_against_a_full_search():
+    """Spans of all notices with letters changed, left out and put in, against the same search without seeds or windows."""
+    import regex
+
+    def full(text, notice, k):
+        pattern, found = regex.compile(b"(?b)(?:" + regex.escape(notice.encode(), special_only=True) + b"){e<=%d}" % k), []
+        parts = [(0, len(text))]
+        while parts:
+            a, b = parts.pop()
+            if a < b and (m := pattern.search(text, a, b)):
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                parts += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
+        return sorted(found)
+
+    rng = np.random.default_rng(9)
+    for notice, label, k in licenses.NOTICES:
+        for _ in range(12):
+            t = " ab cd "
+            for _ in range(int(rng.integers(1, 3))):
+                own = list(notice)
+                for _ in range(int(rng.integers(0, k + 2))):
+                    at = int(rng.integers(0, len(own)))
+                    kind = rng.integers(0, 3)
+                    own[at : at + 1] = ["q"] if kind == 0 else [] if kind == 1 else [own[at], "z"]
+                t += "".join(own) + " " + "xyz " * int(rng.integers(0, 8))
+            got = sorted(x[1:] for x in licenses.fuzzy(t.encode(), ((notice, label, k),)))
+            want = full(t.encode(), notice, k)
+            assert len(got) == len(want) and [g[2] for g in got] == [w[2] for w in want]
+
+
 def test_license_repeats():
     """A notice's weaker matches before and behind its best one are found as well."""
     bad, good = "all rights reservd", "all rights reserved"
@@ -710,7 +740,9 @@ def test_quality(spark, data, request, which):
     assert out.where("base_failed and kept").count() == 0
 
 
-def test_repeats_in_long_texts():
+@pytest.mark.parametrize("wide", [2_000_000, 4])
+def test_repeats_in_long_texts(monkeypatch, wide):
+    monkeypatch.setattr(quality, "_WIDE", wide)
     rng = np.random.default_rng(2)
     for n in (0, 3, 5, 59, 60, 500):
         for _ in range(20):
@@ -734,18 +766,60 @@ def test_risk_control():
 
 def test_quality_false_rejections(spark, docs, data):
     labels = table(spark, data, "labels")
-    ids = F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.col("doc_id") + 100_000 * i)).alias("doc_id")
-    copies, many = docs.select(ids, "text", "lang"), labels.select(ids, "quality")
+    each = F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k")  # twenty texts of each, told apart by a word
+    copies = docs.select("doc_id", "text", "lang", each).select((F.col("doc_id") + 100_000 * F.col("k")).alias("doc_id"), F.concat_ws(" ", "text", F.concat(F.lit("copy"), F.col("k").cast("string"))).alias("text"), "lang")
+    many = labels.select("doc_id", "quality", each).select((F.col("doc_id") + 100_000 * F.col("k")).alias("doc_id"), "quality")
     out = quality.quality_query(copies, many).join(many, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
     rate = dict(map(tuple, out))
     assert rate[1] >= 0.98 and rate[0] < rate[1]
     assert quality.quality_query(empty(spark), labels.limit(0)).count() == 0
 
 
+def test_quality_against_brute_force(spark, docs, data):
+    """Cutoffs and verdicts of the whole small tables, counted one by one."""
+    from math import comb
+
+    labels = [(r["doc_id"], r["quality"]) for r in table(spark, data, "labels").collect()]
+    rows = [(r["doc_id"], r["text"], r["lang"] or "") for r in docs.collect()]
+    measured = {i: max(quality.measures(t)[5:]) for i, t, _ in rows}
+    alpha, delta = 0.1, 0.2
+    worst = defaultdict(lambda: 1)
+    for i, q in labels:
+        if i is not None and q is not None:
+            worst[i] = min(worst[i], q)
+    named = {i for i, q in labels if i is not None and q is not None}
+    good = defaultdict(dict)
+    for i, t, lang in rows:
+        if i in named and worst[i] == 1:
+            good[lang][t or ""] = measured[i]
+    cut = {}
+    for lang, texts in good.items():
+        n, cut[lang] = len(texts), None
+        for c in reversed(quality.GRID):
+            k = sum(v > c for v in texts.values())
+            # the bound is at most alpha just where so few or fewer rejections have at most the level's probability at alpha
+            if sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) > delta / len(good):
+                break
+            cut[lang] = c
+    assert any(c is not None and c < 0.9 for c in cut.values())
+    got = {r["doc_id"]: (r["cutoff"], r["kept"]) for r in quality.quality_query(docs, table(spark, data, "labels"), alpha, delta).collect()}
+    for i, t, lang in rows:
+        c = cut.get(lang)
+        assert got[i] == (c, not quality_row(i, t)[-1] and not (c is not None and measured[i] > c))
+
+
+def test_quality_copies_count_once(spark):
+    """Two hundred copies of one good text are one, and certify nothing."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, plain, "en") for i in range(300)], "doc_id long, text string, lang string")
+    got = quality.quality_query(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    assert got.where("cutoff is not null or not kept").count() == 0
+
+
 def test_quality_few_labels(spark):
     """Some 220 labels a stratum certify a cutoff, over four strata; one with fewer says that it has none."""
     plain = " ".join(f"word{i}" for i in range(80))
-    rows = [(f"{lang}{i}", plain.replace("word", "x" * (i % 7 + 3)) if i < n else "#$%&" * 200 + " " + plain, lang) for lang, n in (("de", 230), ("en", 230), ("es", 230), ("fr", 100)) for i in range(n + 1)]
+    rows = [(f"{lang}{i}", plain.replace("word", "x" * (i % 7 + 3)) + f" end{i}" if i < n else "#$%&" * 200 + " " + plain, lang) for lang, n in (("de", 230), ("en", 230), ("es", 230), ("fr", 100)) for i in range(n + 1)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
     labels = docs.select("doc_id", (~F.col("text").startswith("#")).cast("int").alias("quality"))
     got = quality.quality_query(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("not base_failed").collect()
