@@ -122,9 +122,9 @@ class Segment:
         kind = "<i4" if len(places.as_py()) == 4 * int(self.starts[-1]) else "<i8"
         self.places = np.frombuffer(places.as_py(), kind)
         self.counts = np.diff(self.starts)
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.places[self.starts[term] : self.starts[term + 1]]
+        # postings of all terms as one sorted list
+        self.span = int(self.base[-1]) + WINDOW
+        self.keys = np.repeat(np.arange(len(self.counts)), self.counts) * self.span + self.places
 
     def found(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """The phrases of which all terms are here, and for each phrase the terms' numbers here."""
@@ -132,59 +132,46 @@ class Segment:
         terms = np.append(local, -1)[phrases.terms]
         return np.flatnonzero(((phrases.terms < 0) | (terms >= 0)).all(axis=1)), terms
 
-    def exact(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, place of its start) of every occurrence."""
-        whole, terms = self.found(phrases)
-        which, starts = [], []
-        for p in whole.tolist():
-            own = terms[p, : phrases.lengths[p]]
-            left = None
-            for j in np.argsort(self.counts[own], kind="stable").tolist():
-                postings = self.postings(own[j])
-                if left is None:
-                    left = postings.astype(np.int64) - j
-                else:
-                    left = left[_among(postings, left + j, 0)]
-                if not len(left):
-                    break
-            if len(left):
-                which.append(np.full(len(left), p))
-                starts.append(left)
-        return (np.concatenate(which), np.concatenate(starts)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def near(self, phrases: Phrases, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, document's place in the segment), each once: the phrase can be laid over the document so that every term
-        of it stands there at most ``distance`` words from its place, in any order."""
+    def laid(self, phrases: Phrases, distance: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, place of its start, document's place in the segment) of all ways to lay a phrase over a document so that every term of it stands there at most
+        ``distance`` words from its place. All phrases go together: from the rarest term of each, then the next rarest."""
         whole, terms = self.found(phrases)
-        which, docs = [], []
-        ends = self.base[:-1] + self.lengths - 1
+        rarest = np.where(terms[whole] >= 0, self.counts[terms[whole]], np.iinfo(np.int64).max) if len(whole) else np.zeros((0, WINDOW), np.int64)
+        order = np.argsort(rarest, axis=1, kind="stable")
+        some = np.take_along_axis(rarest, order[:, :1], axis=1)[:, 0] * (2 * distance + 1)
+        which, starts, docs, lo = [], [], [], 0
+        while lo < len(whole):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(some[lo:]), 1 << 20, side="right")))
+            p, left, doc = self._laid(terms[whole[lo:hi]], order[lo:hi], phrases.lengths[whole[lo:hi]], distance)
+            which.append(whole[lo:hi][p])
+            starts.append(left)
+            docs.append(doc)
+            lo = hi
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *x]) for x in (which, starts, docs))
+
+    def _laid(self, terms: np.ndarray, order: np.ndarray, lengths: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first = np.take_along_axis(terms, order[:, :1], axis=1)[:, 0]
+        n = self.counts[first]
+        which = np.repeat(np.arange(len(terms)), n)
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[first], n)
+        place = self.places[at].astype(np.int64)
+        doc = np.searchsorted(self.base, place, side="right") - 1
         shifts = np.arange(-distance, distance + 1)
-        for p in whole.tolist():
-            own = terms[p, : phrases.lengths[p]]
-            order = np.argsort(self.counts[own], kind="stable").tolist()
-            place = self.postings(own[order[0]]).astype(np.int64)
-            doc = np.searchsorted(self.base, place, side="right") - 1
-            left, doc = np.repeat(place - order[0], len(shifts)) + np.tile(shifts, len(place)), np.repeat(doc, len(shifts))
-            for j in order[1:]:
-                stay = _among(self.postings(own[j]), left + j, distance, self.base[doc], ends[doc])
-                left, doc = left[stay], doc[stay]
-                if not len(left):
-                    break
-            if len(left):
-                found = np.unique(doc)
-                which.append(np.full(len(found), p))
-                docs.append(found)
-        return (np.concatenate(which), np.concatenate(docs)) if which else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _among(postings: np.ndarray, wanted: np.ndarray, distance: int, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
-    """Whether a posting is at most ``distance`` from each wanted place (and from ``low`` to ``high``)."""
-    if not distance and low is None:
-        at = np.searchsorted(postings, wanted)
-        at[at == len(postings)] = 0
-        return postings[at] == wanted
-    lo, hi = np.maximum(wanted - distance, low), np.minimum(wanted + distance, high)
-    return np.searchsorted(postings, lo) < np.searchsorted(postings, hi, side="right")
+        left = np.repeat(place - order[which, 0], len(shifts)) + np.tile(shifts, len(place))
+        which, doc = np.repeat(which, len(shifts)), np.repeat(doc, len(shifts))
+        for r in range(1, terms.shape[1]):
+            asked = np.flatnonzero(r < lengths[which])
+            j = order[which[asked], r]
+            term, wanted, d = terms[which[asked], j] * self.span, left[asked] + j, doc[asked]
+            low = np.maximum(wanted - distance, self.base[d])
+            high = np.minimum(wanted + distance, self.base[d] + self.lengths[d] - 1)
+            stay = np.ones(len(which), bool)
+            stay[asked] = (low <= high) & (np.searchsorted(self.keys, term + low) < np.searchsorted(self.keys, term + high, side="right"))
+            which, left, doc = which[stay], left[stay], doc[stay]
+            if not len(which):
+                break
+        return which, left, doc
 
 
 def _segments(batches) -> Iterator[Segment]:
@@ -214,10 +201,9 @@ def matches(segments: DataFrame, phrases: Broadcast, distance: int | None = None
     def run(batches):
         test = phrases.value
         for s in _segments(batches):
-            which, starts = s.exact(test)
+            which, starts, doc = s.laid(test)
             at = np.argsort(starts, kind="stable")
-            which, starts = which[at], starts[at]
-            doc = np.searchsorted(s.base, starts, side="right") - 1
+            which, starts, doc = which[at], starts[at], doc[at]
             hits: dict[int, tuple[list, list, set, set]] = {}
             for d, p, a, b in zip(doc.tolist(), which.tolist(), starts.tolist(), (starts + test.lengths[which]).tolist()):
                 first, last, items, _ = hits.setdefault(d, ([], [], set(), set()))
@@ -229,7 +215,8 @@ def matches(segments: DataFrame, phrases: Broadcast, distance: int | None = None
                     first.append(a)
                     last.append(b)
             if distance is not None:
-                for p, d in zip(*(x.tolist() for x in s.near(test, distance))):
+                which, _, doc = s.laid(test, distance)
+                for p, d in sorted({*zip(which.tolist(), doc.tolist())}):
                     hits.setdefault(d, ([], [], set(), set()))[3].update(test.items[p])
             cols = [[int(s.rows[d]) for d in hits], *([sorted(h[i]) for h in hits.values()] for i in range(4))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
