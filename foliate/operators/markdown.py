@@ -29,6 +29,10 @@ _UNDERLINE = re.compile(r"(=+|-+)[ \t]*$")
 _HTML = re.compile(r"<(?:!--|\?|![A-Z]|/?[A-Za-z][A-Za-z0-9-]*(?=[\s/>]|$))")
 _TABLE_RULE = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _DEFINITION = re.compile(r"\[([^\[\]]+)\]:[ \t]*<?(\S+?)>?(?:[ \t]+(?:\"([^\"]*)\"|'([^']*)'|\(([^()]*)\)))?[ \t]*$")
+_NOTE = re.compile(r"\[\^([^\[\]\s]+)\]:[ \t]*")
+_MATH = re.compile(r"(\${2,})[ \t]*$")
+_MEANING = re.compile(r":(?=[ \t]{3,}\S|\t\S)")
+_ATTRIBUTES = re.compile(r"\{[ \t]*(?:(?:[#.][A-Za-z_][\w:.-]*|[A-Za-z_:][\w:.-]*=(?:\"[^\"\n]*\"|'[^'\n]*'|[^\s{}\"']+))[ \t]*)+\}")
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]*|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
 _AUTOLINK = re.compile(r"<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*>|<[^\s<>@]+@[^\s<>@]+>")
 _RAW_HTML = re.compile(r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*)?/?>", re.S)
@@ -38,7 +42,7 @@ _ESCAPABLE = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 @dataclass
 class Block:
-    kind: str  # heading, paragraph, list, item, code, quote, table, other
+    kind: str  # heading, paragraph, list, item, code, quote, table, meaning, note, other
     start: int
     stop: int
     line: int
@@ -112,6 +116,15 @@ def parse_blocks(lines: list[Line], definitions: dict[str, tuple[str, str | None
             while i < len(lines) and lines[i][1].strip():
                 i += 1
             out.append(Block("other", place, lines[i - 1][0] + len(lines[i - 1][1]) - 1, lines[first][2]))
+        elif m := _MATH.match(bare):
+            i = _fenced_code(lines, i, place, m[1], out)
+        elif m := _NOTE.match(bare):
+            i = _inside(lines, i, place + m.end(), bare[m.end() :], "note", m[1], definitions, out)
+        elif out and out[-1].kind in ("paragraph", "meaning") and (m := _MEANING.match(bare)):
+            if out[-1].kind == "paragraph":  # the terms, which are no paragraph
+                out.pop()
+            body = bare[1:].lstrip(" \t")
+            i = _inside(lines, i, place + len(bare) - len(body), body, "meaning", "", definitions, out)
         elif (m := _DEFINITION.match(bare)) and not bare.startswith("[^"):
             definitions.setdefault(m[1].lower(), (m[2], m[3] or m[4] or m[5]))
             i += 1
@@ -122,6 +135,29 @@ def parse_blocks(lines: list[Line], definitions: dict[str, tuple[str, str | None
     return out
 
 
+def _inside(lines: list[Line], i: int, at: int, body: str, kind: str, name: str, definitions: dict, out: list[Block]) -> int:
+    """A block behind a mark: the rest of its line, lines that go on with its paragraph, and indented ones."""
+    first, inner = i, [(at, body, lines[i][2])]
+    i += 1
+    while i < len(lines):
+        s = lines[i][1]
+        if not s.strip():
+            if i + 1 < len(lines) and lines[i + 1][1].strip() and _indent(lines[i + 1][1]) >= 4:
+                inner.append((lines[i][0], "", lines[i][2]))
+            else:
+                break
+        elif _indent(s) >= 4:
+            inner.append(_cut(lines[i], 4))
+        elif inner[-1][1].strip() and not _opens(s.lstrip(" ")) and not _NOTE.match(s.lstrip(" ")) and not _MEANING.match(s.lstrip(" ")):
+            inner.append(lines[i])
+        else:
+            break
+        i += 1
+    last = lines[i - 1]
+    out.append(Block(kind, lines[first][0], last[0] + len(last[1]) - 1, lines[first][2], text=name, children=parse_blocks(inner, definitions)))
+    return i
+
+
 def _paragraph(lines: list[Line], i: int, place: int, out: list[Block]) -> int:
     first, taken = i, []
     while i < len(lines):
@@ -134,7 +170,7 @@ def _paragraph(lines: list[Line], i: int, place: int, out: list[Block]) -> int:
                 stop = lines[i][0] + len(s.rstrip()) - 1
                 out.append(Block("heading", place, stop, lines[first][2], 1 if m[1][0] == "=" else 2, "\n".join(taken)))
                 return i + 1
-            if _opens(bare):
+            if _opens(bare) or _MATH.match(bare) or _NOTE.match(bare) or _MEANING.match(bare):
                 break
         taken.append(s.lstrip(" \t"))
         i += 1
@@ -250,11 +286,31 @@ def _table(lines: list[Line], i: int, place: int, out: list[Block]) -> int:
 # Inlines
 
 
+#: Marks of an emphasis that are one character; inserted and marked text have two.
+_LONGEST = {"^": 1}
+
+
+def _formula(s: str, i: int) -> int:
+    """The end of an inline formula that opens at ``i``, 0 if none does: its marks stand at words' edges and touch it."""
+    run = 2 if s.startswith("$$", i) else 1
+    mark = lambda x: not x or x.isspace() or not (x.isalnum() or x == "$")
+    if not mark(s[i - 1 : i]) or not s[i + run : i + run + 1].strip():
+        return 0
+    at = s.find("$" * run, i + run)
+    while at >= 0:
+        if not s[at - 1].isspace() and s[at - 1] != "\\" and mark(s[at + run : at + run + 1]) and at > i + run:
+            return at + run
+        at = s.find("$" * run, at + 1)
+    return 0
+
+
 class Inline:
     """Text as a reader sees it, and the links in it; what is inside a link is no link of its own."""
 
-    def __init__(self, definitions: dict[str, tuple[str, str | None]]):
+    def __init__(self, definitions: dict[str, tuple[str, str | None]], notes: frozenset[str] = frozenset()):
         self.definitions = definitions
+        self.notes = notes
+        self.cited: dict[str, None] = {}
 
     def parse(self, s: str) -> tuple[str, list[dict]]:
         out: list[str] = []
@@ -295,6 +351,19 @@ class Inline:
             elif c == "<" and (m := _AUTOLINK.match(s, i) or _RAW_HTML.match(s, i)):
                 i = m.end()
                 continue
+            elif c == "$" and (end := _formula(s, i)):
+                i = end
+                continue
+            elif c == "{" and (m := _ATTRIBUTES.match(s, i)):
+                i = m.end()
+                if i == len(s):
+                    while out and out[-1] == " ":
+                        out.pop()
+                continue
+            elif s.startswith("[^", i) and (m := re.compile(r"\[\^([^\[\]\s]+)\]").match(s, i)) and m[1].lower() in self.notes:
+                self.cited[m[1].lower()] = None
+                i = m.end()
+                continue
             elif c == "[" or (c == "!" and s[i + 1 : i + 2] == "["):
                 if found := self._link(s, i + (c == "!")):
                     text, url, title, i = found
@@ -306,7 +375,7 @@ class Inline:
                 out.append(m[0])
                 i = m.end()
                 continue
-            elif c in "*_~" and (c != "~" or s[i : i + 2] == "~~"):
+            elif c in "*_~^" or s[i : i + 2] in ("++", "=="):
                 run = re.match(re.escape(c) + "+", s[i:])[0]
                 before, after = s[i - 1 : i] or " ", s[i + len(run) : i + len(run) + 1] or " "
                 mark = lambda x: not x.isalnum() and not x.isspace()
@@ -331,7 +400,7 @@ class Inline:
                 while d[2] and (k := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == d[1]), None)) is not None:
                     o = stack[k]
                     del stack[k + 1 :]
-                    use = min(2, o[2], d[2]) if d[1] != "~" else 2
+                    use = min(_LONGEST.get(d[1], 2), o[2], d[2]) if d[1] not in "+=" else 2
                     if min(o[2], d[2]) < use:
                         break
                     o[2], d[2] = o[2] - use, d[2] - use
@@ -371,7 +440,17 @@ def document_blocks(text: str) -> list[dict]:
     """Blocks of the four kinds that chunks and elements are made of, in document order; ``top`` for those that stand in
     no other block."""
     definitions: dict[str, tuple[str, str | None]] = {}
-    inline = Inline(definitions)
+    parsed = parse_blocks(split_lines(text), definitions)
+    notes: dict[str, Block] = {}
+
+    def gather(blocks: list[Block]) -> None:
+        for b in blocks:
+            if b.kind == "note":
+                notes.setdefault(b.text.lower(), b)
+            gather(b.children)
+
+    gather(parsed)
+    inline = Inline(definitions, frozenset(notes))
     rows: list[dict] = []
 
     def row(b: Block, top: bool) -> None:
@@ -397,10 +476,14 @@ def document_blocks(text: str) -> list[dict]:
         for b in blocks:
             if b.kind in ("heading", "paragraph", "list", "code"):
                 row(b, top)
-            elif b.kind in ("quote", "table"):
+            elif b.kind in ("quote", "table", "meaning"):
                 walk(b.children, False)
 
-    walk(parse_blocks(split_lines(text), definitions), True)
+    walk(parsed, True)
+    told: set[str] = set()
+    while left := [n for n in inline.cited if n not in told]:  # notes stand at the end, in the order in which they are cited
+        told.add(left[0])
+        walk(notes[left[0]].children, False)
     return rows
 
 

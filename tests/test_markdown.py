@@ -110,6 +110,17 @@ def test_stream(spark, tmp_path):
     assert [(r["chunk_id"], r["parent_id"]) for r in rows] == [("d0#1", None), ("d0#2", "d0#1"), ("d1#1", None), ("d1#2", "d1#1")]
 
 
+@pytest.mark.parametrize("text,want", [
+    ("$$\na + b\n$$\n\ncost is $x_1$ or $5 and $6", [("code_block", 0, "a + b"), ("paragraph", 0, "cost is  or $5 and $6")]),
+    ("# T {#id .big}\n\nsee{.x} {no} end {a=b}", [("heading", 1, "T"), ("paragraph", 0, "see {no} end")]),
+    ("a[^1] b[^2] c[^9]\n\n[^2]: two\n[^1]: one\n    more\n\n    next\n\nz\n\n[^3]: never", [("paragraph", 0, "a b c[^9]"), ("paragraph", 0, "z"), ("paragraph", 0, "one more"), ("paragraph", 0, "next"), ("paragraph", 0, "two")]),
+    ("Term\n:   meaning one\n:   meaning two\n\nplain", [("paragraph", 0, "meaning one"), ("paragraph", 0, "meaning two"), ("paragraph", 0, "plain")]),
+    ("H~2~O x^2^ ++in++ ==mark== ~~out~~ a + b == c ~5 and ~6", [("paragraph", 0, "H2O x2 in mark out a + b == c ~5 and ~6")]),
+])
+def test_extensions(text, want):
+    assert shape(text) == want
+
+
 def test_whole_lines():
     rows = [("a\nbcd ef\ng", 4, 5), ("a\nbcd", 2, 2), ("ab\n", 0, 1), ("abc", 1, 9)]
     assert [whole_lines(*r) for r in rows] == ["bcd ef", "", "ab", ""]
