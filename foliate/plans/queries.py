@@ -589,7 +589,7 @@ def pool_masked(s, d):
 
 
 @query("""with t as (select item_id, case when item_id % 5 = 0 then '  ' else text end as text from benchmark)
-select item_id, cast(1024 as bigint) as n, case when trim(text) = '' then 0.0 else 1.0 end as norm, count(*) over (partition by text) as same from t""")
+select item_id, cast(1024 as bigint) as n, cast(case when trim(text) = '' then 0 else 1 end as double) as norm, count(*) over (partition by text) as same from t""")
 def vec_hash(s, d):
     """Size, length and equality of vectors; blank texts give zeros, equal texts equal vectors, others others."""
     blank = F.when(F.col("item_id") % 5 == 0, "  ").otherwise(F.col("text"))
