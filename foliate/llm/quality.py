@@ -157,15 +157,6 @@ def calibrated(rows: DataFrame, labels: DataFrame, stratum: str, alpha: float =
     return {k: c for k, (c,) in cutoffs({r["stratum"]: (r["n"], [[r[str(i)] for i in range(len(GRID))]]) for r in got}, alpha, delta).items()}
 
 
-def cutoff_of(chosen: dict[str, float | None], stratum: str) -> Column:
-    """A row's cutoff; null in a stratum without labels or with too few."""
-    out = F.lit(None).cast("double")
-    for name, cut in sorted(chosen.items()):
-        if cut is not None:
-            out = F.when(F.col(stratum) == name, cut).otherwise(out)
-    return out
-
-
 def quality_query(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """doc_id, n_words, the base counts, base_failed, kept, the rates and the cutoff: null where none could be certified and
     the base rule decides alone. A null language is a stratum of its own, a null or empty text has no words, very long
@@ -174,8 +165,10 @@ def quality_query(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = written(measured(docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), key.alias("key"), "text")), "measures")
     chosen = calibrated(rows, labels.select("doc_id", "quality"), "stratum", alpha, delta)
+    table = docs.sparkSession.createDataFrame([(k, c) for k, c in sorted(chosen.items()) if c is not None], "stratum string, cutoff double")
+    rows = rows.join(F.broadcast(table), "stratum", "left")  # a row a language, from the driver
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.coalesce(worst() > cutoff_of(chosen, "stratum"), F.lit(False))).alias("kept"), *RULES,
-        cutoff_of(chosen, "stratum").alias("cutoff"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & ~F.coalesce(worst() > F.col("cutoff"), F.lit(False))).alias("kept"), *RULES, "cutoff",
     )
