@@ -823,6 +823,7 @@ def follow(scored: DataFrame, every: str = "row") -> DataFrame:
     pairs = each.where("trained").groupBy("before", "segment").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct("n", F.col("segment").alias("s")))
     followers = pairs.groupBy("before").agg(F.sum("n").alias("all"), best.alias("best")).select("before", "all", F.col("best.n").alias("top"), F.col("best.s").alias("follower"))
+    followers = written(followers, "followers")  # as a table, so that a frequent segment's partition of the join can be split
     hit = F.coalesce(F.col("segment") == F.col("follower"), F.lit(False))
     own = F.col("trained").cast("long")
     met = each.join(followers, "before", "left").select(
