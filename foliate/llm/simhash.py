@@ -23,6 +23,7 @@ from foliate.llm.base import fresh, joined_to_one, mapped, merged, space_words,
 
 THRESHOLD = 3
 TILE = 2048
+KIND = 40
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -87,16 +88,17 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchored(fps: DataFrame) -> DataFrame:
-    """(anchor, fp, home) for the distinct fingerprints in column ``fp``."""
+    """(anchor, fp, home) for the distinct fingerprints in column ``fp``, of each ``kind`` apart: an anchor carries it above KIND bits."""
 
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             anchor, at, home = anchors(fp.view(np.uint64))
+            anchor = anchor | batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)[at] << np.uint64(KIND)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[at]), pa.array(home)], ["anchor", "fp", "home"])
 
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mapped(fps.select("fp").repartition(parts, "fp"), run, "anchor long, fp long, home boolean")
+    return mapped(fps.select("fp", "kind").repartition(parts, "fp"), run, "anchor long, fp long, home boolean")
 
 
 def _forest(homes: np.ndarray, all_: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +130,7 @@ def _compare(threshold: int):
         bounds = np.concatenate([[0], edge, [len(anchor)]])
         sizes = np.diff(bounds)
         n_home = np.add.reduceat(home.astype(np.int64), bounds[:-1]) if len(anchor) else np.zeros(0, int)
-        left, right = [], []
+        left, right, kind = [], [], []
         small = (n_home > 0) & (sizes > 1) & (sizes * n_home <= 64)
         if small.any():  # few pairs each: all groups at once
             rows = np.flatnonzero(np.repeat(small, sizes) & home)
@@ -139,6 +141,7 @@ def _compare(threshold: int):
             hit = (fp[a] != fp[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= threshold)
             left.append(fp[a[hit]])
             right.append(fp[b[hit]])
+            kind.append(anchor[a[hit]] >> KIND)
         for g in np.flatnonzero((n_home > 0) & (sizes > 1) & (sizes * n_home > 64)).tolist():
             own = slice(bounds[g], bounds[g + 1])
             homes = fp[own][home[own]]
@@ -147,7 +150,8 @@ def _compare(threshold: int):
                 x, y = _forest(np.unique(homes[at : at + step]), np.unique(fp[own]), threshold)
                 left.append(x)
                 right.append(y)
-        return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
+                kind.append(np.full(len(x), anchor[bounds[g]] >> KIND))
+        return (np.concatenate(left), np.concatenate(right), np.concatenate(kind)) if left else (fp[:0], fp[:0], anchor[:0])
 
     def run(batches):
         held = None
@@ -162,18 +166,19 @@ def _compare(threshold: int):
             cut = int(changed[-1]) + 1 if len(changed) else 0  # the last group may go on
             held = [c[cut:] for c in cols]
             if cut:
-                a, b = links(*(c[:cut] for c in cols))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+                a, b, k = links(*(c[:cut] for c in cols))
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(k, pa.int32())], ["u", "v", "kind"])
         if held is not None and len(held[0]):
-            a, b = links(*held)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+            a, b, k = links(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(k, pa.int32())], ["u", "v", "kind"])
 
     return run
 
 
 def links(fps: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """(u, v), u > v: links that connect the same fingerprints as all pairs at most ``threshold`` (up to 3) bits apart."""
-    rows = anchored(fps)
+    """(u, v, kind), u > v: links that connect the same fingerprints as all pairs at most ``threshold`` (up to 3) bits apart, of
+    each ``kind`` (a number below 2**20, if there is such a column) apart."""
+    rows = anchored(fps if "kind" in fps.columns else fps.withColumn("kind", F.lit(0)))
     crowded = rows.where("home").groupBy("anchor").count().where(F.col("count") > tile).select("anchor", F.ceil(F.col("count") / tile).cast("int").alias("g"))
     rows = rows.join(crowded, "anchor", "left").withColumn("g", F.coalesce("g", F.lit(1)))
     # tile (i, j) holds the i-th part of the homes and the j-th part of all members
@@ -184,8 +189,8 @@ def links(fps: DataFrame, threshold: int = THRESHOLD, tile: int = TILE) -> DataF
     places = F.when(F.col("g") == 1, F.array(F.struct(F.lit(0).alias("tile"), F.col("home").alias("home")))).otherwise(F.when(F.col("home"), F.concat(as_member, as_home)).otherwise(as_member))
     rows = rows.select("anchor", "fp", F.explode(places).alias("p")).select("anchor", F.col("p.tile").alias("tile"), "fp", F.col("p.home").alias("home"))
     rows = rows.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile")
-    found = mapped(rows, _compare(threshold), "u long, v long")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    found = mapped(rows, _compare(threshold), "u long, v long, kind int")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), "kind").where("u <> v").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -276,15 +281,13 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # nodes: rows of equal fingerprints, and each fingerprint of a kind that leads from one such node to another
     order = F.struct(F.col("i").isNull().alias("n"), F.col("i").alias("i"), F.col("r").alias("r"))
     nodes = written(rows.groupBy(*names).agg(F.min(order).alias("least")).withColumn("node", F.xxhash64(F.lit(-1), *names)), "nodes")
-    number = lambda k, c: F.xxhash64(F.lit(k), F.col(c))
-    edges = None
-    for k, name in enumerate(names):
-        found = written(nodes.groupBy(F.col(name).alias("fp")).agg(F.count(F.lit(1)).alias("n")), "distinct")
-        tied = written(links(found.select("fp")), "links")
-        leads = found.where("n > 1").select("fp").unionByName(tied.select(F.col("u").alias("fp"))).unionByName(tied.select(F.col("v").alias("fp"))).distinct()
-        own = nodes.select("node", F.col(name).alias("fp")).join(leads, "fp").select(F.col("node").alias("u"), number(k, "fp").alias("v"))
-        both = own.unionByName(tied.select(number(k, "u").alias("u"), number(k, "v").alias("v")))
-        edges = both if edges is None else edges.unionByName(both)
+    each = nodes.select("node", F.posexplode(F.array(*names)).alias("kind", "fp"))
+    found = written(each.groupBy("kind", "fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    tied = written(links(found.select("kind", "fp")), "links")
+    ends = [tied.select("kind", F.col(c).alias("fp")) for c in ("u", "v")]
+    leads = found.where("n > 1").select("kind", "fp").unionByName(ends[0]).unionByName(ends[1]).distinct()
+    number = lambda c: F.xxhash64("kind", c)
+    edges = each.join(leads, ["kind", "fp"]).select(F.col("node").alias("u"), number("fp").alias("v")).unionByName(tied.select(number("u").alias("u"), number("v").alias("v")))
     ties = components(edges)
     rooted = nodes.join(ties, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.r").alias(row))
