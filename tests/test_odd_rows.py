@@ -23,7 +23,7 @@ def against_sql(spark, folder, name, tables):
 BLANK = ["", " ", "\n", " \r\n ", None, "x\r\r\n", "\t\n　\n", "a\x00b\n\U0001f926 é", "\n\n"]
 
 
-@pytest.mark.parametrize("name", ["line_offsets"])
+@pytest.mark.parametrize("name", ["line_offsets", "lines_split"])
 def test_lines_of_blank_texts(spark, tmp_path, name):
     docs = [(i, BLANK[i % len(BLANK)]) for i in range(40)]
     got, want = against_sql(spark, tmp_path, name, {"documents": (docs, "doc_id bigint, text string")})
