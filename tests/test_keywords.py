@@ -108,3 +108,30 @@ def test_presets():
     assert mapped.inherit_parent_keywords and mapped.max_keywords_per_chunk == 15 and c.default() == c()
     for preset in (c.default(), c.large_documents(), c.small_documents(), c.performance(), mapped):
         assert preset.validate() is preset
+
+
+def test_pairs_in_blocks_of_queries(spark):
+    """The pairs of blocks of any size are those of a plain count, and nothing of them is exchanged."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    sets = {f"{i}#1": [rng.choice(words).upper() if rng.random() < 0.3 else rng.choice(words) for _ in range(rng.randrange(6))] for i in range(60)}
+    rows = spark.createDataFrame([*sets.items(), ("none#1", None)], "chunk_id string, keywords array<string>")
+    queries = rows.where("chunk_id in ('0#1', '7#1', '20#1', '33#1', '50#1', 'none#1')")
+    up = {k: [w.upper() for w in v] for k, v in sets.items()}
+    asked = [k for k in ("0#1", "7#1", "20#1", "33#1", "50#1")]
+    shared = {(q, o): sum(w in up[q] for w in up[o]) for q in asked for o in up if q != o}
+    alike = {(q, o): len(a & b) / len(a | b) for q in asked for o in up if q != o and (a := set(up[q])) & (b := set(up[o]))}
+    for at_once in (1, 2, 100):
+        found = analytics.related(rows, 2, queries, at_once)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r[0], r[1]): r[2] for r in found.collect()} == {k: n for k, n in shared.items() if n >= 2}
+        assert {(r[0], r[1]): r[2] for r in analytics.similar(rows, queries, 0.2, at_once).collect()} == {k: x for k, x in alike.items() if x > 0.2}
+
+
+def test_tokens_at_the_edges_of_words(spark):
+    """Only whole runs of letters count; a neighbour from another script, a mark, digit or connector is part of the word."""
+    text = "Straße éclair cafe\u0301 plain \u212Aelvin x_y abc1 THE api-Docs fooİ foo\u200dbar ab API naïve-word"
+    df = spark.createDataFrame([(text,)], "c string").select(tx.keyword_tokens(F.col("c")))
+    assert df.first()[0] == ["plain", "api", "docs", "foo", "bar", "api", "word"]
