@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foliate.functions.text import link_type
 from foliate.operators import elements as el
 from foliate.operators import graph
-from foliate.operators.markdown import document_blocks, whole_lines
+from foliate.operators.markdown import Inline, blocks, document_blocks, whole_lines
 from foliate.plans.chunker import Chunker
 from foliate.sources.documents import as_json, write_json
 from foliate.streaming.chunks import chunk_stream, read_documents, write_chunks
@@ -136,3 +136,31 @@ def test_graph_from_one_parse(spark):
     assert sorted(map(tuple, made.parent_elements().collect())) == sorted(map(tuple, graph.parent_elements(made.elements, made.edges).collect()))
     assert rows(made.child_elements("d0#e1")) == rows(graph.child_elements(made.elements, made.edges, "d0#e1")) != []
     assert made.edges.where("created_at is null").count() == 0
+
+
+def test_plain_runs_take_one_step():
+    """Plain text is taken in runs, not by the character; marks, line breaks and addresses within it are still seen."""
+    import sys
+
+    inline, calls = Inline({}), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += 1
+
+    text = "plain words, " * 4_000
+    sys.setprofile(count)
+    try:
+        found = inline.parse(text)
+    finally:
+        sys.setprofile(None)
+    assert found == (text, []) and calls < 1_000
+    said, links = inline.parse("a  \nb ![i](u) c++d++ xhttp://n.o www.a.b! {.k}")
+    assert said == "a b i cd xhttp://n.o www.a.b!" and [x["url"] for x in links] == ["u", "http://www.a.b"]
+
+
+def test_structure_of_documents_by_one_parse(spark):
+    docs = spark.createDataFrame([("a", "# t"), ("b", " "), ("c", None), ("d", "> only quoted"), ("e", ""), ("e", "text")], "source_id string, text string")
+    found = el.has_structure(blocks(docs))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == [("a", True), ("b", False), ("c", False), ("d", False), ("e", True), ("e", True)]
