@@ -28,3 +28,10 @@ def test_lines_of_blank_texts(spark, tmp_path, name):
     docs = [(i, BLANK[i % len(BLANK)]) for i in range(40)]
     got, want = against_sql(spark, tmp_path, name, {"documents": (docs, "doc_id bigint, text string")})
     assert got == want and len({r[0] for r in want}) == sum(t is not None for _, t in docs)
+
+
+@pytest.mark.parametrize("name", ["line_offsets", "lines_split", "line_classify"])
+def test_lines_of_numbers_below_zero(spark, tmp_path, name):
+    docs = [(i, "One a\nTwo b\n\nThree c\nFour d") for i in range(-40, 40)]
+    got, want = against_sql(spark, tmp_path, name, {"documents": (docs, "doc_id bigint, text string")})
+    assert got == want and any(r[0].startswith("-") for r in want)
