@@ -51,7 +51,8 @@ def mapping_errors(mappings: Mapping[str, Sequence[str] | None] | None) -> list[
 
 def keyword_error_rows(rows: DataFrame, id_col: str = "list_id", keywords_col: str = "keywords") -> DataFrame:
     """(id, ord, message): the same checks over a column of keyword arrays. Messages about a keyword have its index as
-    ord; those about repeats have null."""
+    ord; those about repeats have null. Nearly all pairs of list and keyword stand alone, so they are dealt out before they are
+    counted: no task counts more than one of ``spark.sql.shuffle.partitions`` pieces, however much of the table it reads."""
     each = rows.select(id_col, F.posexplode(keywords_col).alias("i", "k"))
     said = lambda text: F.concat(F.lit("Keyword '"), F.col("k"), F.lit(f"' {text}"))
     messages = F.when(is_blank(F.col("k")), F.array(F.concat(F.lit("Keyword at index "), F.col("i").cast("string"), F.lit(" is null or empty")))).otherwise(
@@ -61,5 +62,7 @@ def keyword_error_rows(rows: DataFrame, id_col: str = "list_id", keywords_col: s
         ))
     )
     single = each.select(id_col, F.col("i").cast("bigint").alias("ord"), F.explode(messages).alias("message"))
-    twice = each.where("k is not null and k <> ''").groupBy(id_col, F.lower("k").alias("w")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    pieces = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = each.where("k is not null and k <> ''").select(id_col, F.lower("k").alias("w")).repartition(pieces, id_col, "w")
+    twice = words.groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return single.unionByName(twice.select(id_col, F.lit(None).cast("bigint").alias("ord"), F.concat(F.lit("Duplicate keyword found: '"), F.col("w"), F.lit("'")).alias("message")))

@@ -135,3 +135,9 @@ def test_tokens_at_the_edges_of_words(spark):
     text = "Straße éclair cafe\u0301 plain \u212Aelvin x_y abc1 THE api-Docs fooİ foo\u200dbar ab API naïve-word"
     df = spark.createDataFrame([(text,)], "c string").select(tx.keyword_tokens(F.col("c")))
     assert df.first()[0] == ["plain", "api", "docs", "foo", "bar", "api", "word"]
+
+
+def test_repeats_are_dealt_out_before_they_are_counted(spark):
+    rows = keyword_error_rows(spark.createDataFrame([(1, BAD)], "list_id int, keywords array<string>"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "HashAggregate" not in plan.split("Exchange")[-1]

@@ -35,3 +35,9 @@ def test_lines_of_numbers_below_zero(spark, tmp_path, name):
     docs = [(i, "One a\nTwo b\n\nThree c\nFour d") for i in range(-40, 40)]
     got, want = against_sql(spark, tmp_path, name, {"documents": (docs, "doc_id bigint, text string")})
     assert got == want and any(r[0].startswith("-") for r in want)
+
+
+def test_keyword_faults_of_repeated_lists(spark, tmp_path):
+    customers = [(None if i % 11 == 0 else i % 50, f"Customer#{i % 30}", ("FURNITURE", "fine", "ok", "Machinery", "ÉéÑ")[i % 5]) for i in range(400)]
+    got, want = against_sql(spark, tmp_path, "kw_validate", {"customer": (customers, "c_custkey bigint, c_name string, c_mktsegment string")})
+    assert got == want and any(r[0] is None and r[1] is None for r in want)
